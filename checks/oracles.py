@@ -363,13 +363,13 @@ DIRTY = PANEL + """,
 dirty AS (
   SELECT '  ACC-' || account_id || chr(9) AS account_id, region, segment,
     ' ' || nation || ' ' AS nation, chr(10) || tier AS tier, urgent, returns,
-    CASE WHEN discount = 'None' THEN 'Platinum' ELSE discount END AS discount,
+    CASE WHEN discount = 'Premium' THEN 'Platinum' ELSE discount END AS discount,
     CASE WHEN fulfilment = 'Low' THEN NULL ELSE fulfilment END AS fulfilment,
     CASE segment WHEN 'AUTOMOBILE' THEN 'abc' WHEN 'BUILDING' THEN NULL
       WHEN 'FURNITURE' THEN ' 1.5e3 ' WHEN 'HOUSEHOLD' THEN '12d'
       ELSE ' ' || CAST(CAST(floor(monthly_spend) AS BIGINT) AS VARCHAR) END AS monthly_spend,
     tenure_years, recency_years, span_years,
-    CASE WHEN urgent = 'Yes' THEN CAST(orders_n AS VARCHAR) ELSE orders_n || '.5' END AS orders_n,
+    CASE WHEN returns = 'Frequent' THEN orders_n || '.5' ELSE CAST(orders_n AS VARCHAR) END AS orders_n,
     CASE tier WHEN 'Entry' THEN '-' || orders_last_year WHEN 'Junior' THEN 'Infinity'
       ELSE '+' || orders_last_year END AS orders_last_year,
     CAST(suppliers_n AS VARCHAR) AS suppliers_n, upper(churned) AS churned
@@ -400,7 +400,7 @@ def violations() -> str:
         rules.append((c, "above maximum", f"{parsed(c)} > {high}"))
     return "broken AS (" + " UNION ALL ".join(
         f"SELECT account_id, {q(c)} AS field, {q(rule)} AS rule, CAST({c} AS VARCHAR) AS value "
-        f"FROM dirty WHERE {cond}"
+        f"FROM trimmed WHERE {cond}"
         for c, rule, cond in rules
     ) + ")"
 
@@ -576,7 +576,8 @@ LEFT JOIN (SELECT account_id, string_agg(field, ',' ORDER BY position) AS fields
 LEFT JOIN (SELECT account_id, string_agg(field || '>' || display, ',' ORDER BY position) AS fields,
              {even('sum(reduction)', 4)} AS total FROM actions GROUP BY 1) a USING (account_id)"""
     all_kinds = ("base", "driver", "action", "pay")
-    p6 = f"WITH {DIRTY}, {violations()} "
+    tidy = f"SELECT {trimmed}, tenure_years, recency_years, span_years FROM dirty"
+    p6 = f"WITH {DIRTY}, trimmed AS ({tidy}), {violations()} "
     checks = f"""facts AS (SELECT count(*) AS n, count(*) - count(DISTINCT account_id) AS repeated,
   count(*) FILTER (WHERE churned = 'Yes') AS yes,
   count(*) FILTER (WHERE {' OR '.join(f'{c} IS NULL' for c in ['account_id', 'churned', 'region', *CATS, *NUMS])}) AS nulls
@@ -595,13 +596,13 @@ UNION ALL SELECT 'breakdowns cover all rows', count(*) = 0, count(*) FROM (
         # cleaning and contracts
         "s2_load_clean": f"WITH {PANEL} SELECT account_id, region, {', '.join(CATS)}, "
         + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMS) + ", churned FROM panel",
-        "p1_trim_strings": f"WITH {DIRTY} SELECT {trimmed}, tenure_years, recency_years, span_years FROM dirty",
+        "p1_trim_strings": f"WITH {DIRTY} {tidy}",
         "p2_coerce_numerics": f"WITH {DIRTY} SELECT account_id, {clean_numbers} FROM dirty",
         "p3_target_flag": f"WITH {DIRTY} SELECT account_id, churned, CAST(lower(churned) = 'yes' AS INTEGER) AS label FROM dirty",
         "p4_features_only": f"WITH {PANEL} SELECT {contract} FROM panel",
         "p5_model_frame": f"WITH {FEAT} SELECT account_id, {', '.join(SPEC.model_columns)} FROM feat",
         "p6_violations": p6 + "SELECT * FROM broken",
-        "p6_valid_rows": p6 + "SELECT account_id FROM dirty WHERE account_id NOT IN (SELECT account_id FROM broken)",
+        "p6_valid_rows": p6 + "SELECT account_id FROM trimmed WHERE account_id NOT IN (SELECT account_id FROM broken)",
         "p7_defaults": f"WITH {PANEL} SELECT * REPLACE ('None' AS discount, 3 AS tenure_years) FROM panel",
         "p8_contract_columns": f"WITH {PANEL} SELECT account_id, {contract} FROM panel",
         "p9_form_projection": f"WITH {FEAT} SELECT account_id, {contract} FROM feat",

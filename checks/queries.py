@@ -65,9 +65,8 @@ def dirty_panel(spark: SparkSession, sf: str) -> DataFrame:
             .when(c("segment") == "FURNITURE", " 1.5e3 ")
             .when(c("segment") == "HOUSEHOLD", "12d")
             .otherwise(F.concat(F.lit(" "), F.floor("monthly_spend").cast("string"))),
-            "orders_n": F.when(c("urgent") == "Yes", c("orders_n").cast("string")).otherwise(
-                F.concat(c("orders_n").cast("string"), F.lit(".5"))
-            ),
+            "orders_n": F.when(c("returns") == "Frequent", F.concat(c("orders_n").cast("string"), F.lit(".5")))
+            .otherwise(c("orders_n").cast("string")),
             "orders_last_year": F.when(
                 c("tier") == "Entry", F.concat(F.lit("-"), c("orders_last_year").cast("string"))
             )
@@ -75,7 +74,7 @@ def dirty_panel(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(F.concat(F.lit("+"), c("orders_last_year").cast("string"))),
             "suppliers_n": c("suppliers_n").cast("string"),
             "tier": F.concat(F.lit("\n"), c("tier")),
-            "discount": F.when(c("discount") == "None", "Platinum").otherwise(c("discount")),
+            "discount": F.when(c("discount") == "Premium", "Platinum").otherwise(c("discount")),
             "fulfilment": F.when(c("fulfilment") != "Low", c("fulfilment")),
             "churned": F.upper("churned"),
         }
@@ -122,8 +121,12 @@ def p5_model_frame(spark, sf):
     return model_frame(panel(spark, sf), SPEC, ID)
 
 
+def p6_violations(spark, sf):
+    return K.violation_rows(K.trim_strings(dirty_panel(spark, sf)), SPEC)
+
+
 def p6_valid_rows(spark, sf):
-    valid, _ = K.split_valid(dirty_panel(spark, sf), SPEC)
+    valid, _ = K.split_valid(K.trim_strings(dirty_panel(spark, sf)), SPEC)
     return valid.select(ID)
 
 
@@ -148,7 +151,7 @@ def j2_category_order(spark, sf):
 
 
 def _what_ifs(spark, sf, kind, typical=None):
-    return E.variants(panel(spark, sf), SPEC, typical).filter(F.col("kind") == kind)
+    return E.variants(panel(spark, sf), SPEC, typical, (kind,))
 
 
 def j3_upgrades(spark, sf):
@@ -288,7 +291,7 @@ def m2_scaling_stats(spark, sf):
 
 
 def m7_permutation_importance(spark, sf):
-    frame = TR.training_rows(panel(spark, sf), SPEC)
+    frame = written(TR.training_rows(panel(spark, sf), SPEC), "importance-rows")
     return feature_importance(
         frame, SPEC, TR.LABEL, ACCOUNT_SCORECARD, IMPORTANCE_REPEATS, SEED
     )
@@ -435,7 +438,7 @@ def queries() -> dict[str, Query]:
         "p3_target_flag": p3_target_flag,
         "p4_features_only": lambda s, d: K.drop_unmodelled(panel(s, d), SPEC),
         "p5_model_frame": p5_model_frame,
-        "p6_violations": lambda s, d: K.violation_rows(dirty_panel(s, d), SPEC),
+        "p6_violations": p6_violations,
         "p6_valid_rows": p6_valid_rows,
         "p7_defaults": p7_defaults,
         "p8_contract_columns": lambda s, d: K.contract_columns(panel(s, d), SPEC),

@@ -76,9 +76,9 @@ def lift(rate: Column, baseline: Column) -> Column:
     return F.bround(F.coalesce(rate / F.nullif(baseline, F.lit(0.0)), F.lit(0.0)), 2)
 
 
-def pay_rise(income: Column, rise: float) -> Column:
+def pay_rise(income: Column, rise: Column | float) -> Column:
     """The raised amount, to the nearest hundred."""
-    return F.bround(income * (1 + rise), -2)
+    return F.bround(income * (rise + 1.0), -2)
 
 
 def expected_cost(income: Column, probability: Column) -> Column:

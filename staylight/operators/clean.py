@@ -154,8 +154,10 @@ def split_valid(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:
 
 def violation_rows(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """One row per broken rule: id, field, rule, value."""
-    found = with_violations(df, spec).select(spec.entity_id, F.inline("violations"))
-    return found.select(spec.entity_id, "field", "rule", "value")
+    # The outer form: a plain inline would make Catalyst check the list's size first, and
+    # so evaluate every rule again.
+    found = with_violations(df, spec).select(spec.entity_id, F.inline_outer("violations"))
+    return found.filter(F.col("rule").isNotNull()).select(spec.entity_id, "field", "rule", "value")
 
 
 def with_row_reference(df: DataFrame, spec: PanelSpec, sequence: Column) -> DataFrame:

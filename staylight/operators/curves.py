@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from staylight.workspace import written
+
 DIGITS = 6
 #: The range a tuned threshold may take, and the one without scores.
 THRESHOLD_RANGE = (0.15, 0.85)
@@ -65,8 +67,12 @@ def cumulative_counts(
 
     Per distinct score: ``position`` (1 = highest), ``threshold``, ``pos``, ``neg``,
     ``tp``, ``fp`` and the totals ``positives``, ``negatives``, ``scores_n``.
+
+    The counts are written to the shared folder: they are read several times below, and
+    whatever produced the scores should run once.
     """
-    counts = score_counts(df, label, score, keys, digits).withColumn("one", F.lit(1).cast("bigint"))
+    counts = written(score_counts(df, label, score, keys, digits), "score-counts")
+    counts = counts.withColumn("one", F.lit(1).cast("bigint"))
     summed = _with_totals_above(counts, list(keys), "code", ["pos", "neg", "one"], digits)
     return summed.select(
         *keys,
@@ -214,10 +220,12 @@ def brier(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.agg(F.avg(miss * miss).alias("brier"))
 
 
-def score_block(df: DataFrame, label: str, score: str, threshold, digits: int = DIGITS) -> DataFrame:
-    """All seven quality figures in one row, 4 decimals."""
-    ranked = ranking_metrics(cumulative_counts(df, label, score, digits=digits))
-    ranking = ranked.select(F.struct("roc_auc", "pr_auc")).scalar()
+def score_block(
+    df: DataFrame, label: str, score: str, threshold, curve: DataFrame | None = None
+) -> DataFrame:
+    """All seven quality figures in one row, 4 decimals. ``curve`` saves counting again."""
+    curve = cumulative_counts(df, label, score) if curve is None else curve
+    ranking = ranking_metrics(curve).select(F.struct("roc_auc", "pr_auc")).scalar()
     miss = brier(df, label, score).scalar()
     return (
         decision_metrics(confusion(df, label, score, threshold))

@@ -7,6 +7,7 @@ id *before* they multiply, so the regrouping afterwards needs no second shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -24,109 +25,135 @@ TOP_DRIVERS = 6
 TOP_ACTIONS = 4
 MIN_REDUCTION = 0.01
 
+KINDS = ("base", "driver", "action", "pay")
+_OPTION_TYPE = (
+    "array<struct<no:int,kind:string,field:string,text:string,number:double,display:string,rung:int>>"
+)
 
-def _variant(kind, field, text=None, number=None, display="", step=0) -> Column:
-    def text_or(value):
-        return F.lit(value).cast("string") if not isinstance(value, Column) else value
 
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.lit(field).alias("field"),
-        text_or(text).alias("text"),
-        (number if isinstance(number, Column) else F.lit(number)).cast("double").alias("number"),
-        text_or(display).alias("display"),
-        (step if isinstance(step, Column) else F.lit(step)).cast("int").alias("step"),
-    )
-
-
-def _drivers(spec: PanelSpec, typical: Mapping) -> list[Column]:
-    out = []
-    for field in spec.categoricals:
-        value = typical.get(field)
-        if value is not None:
-            differs = ~F.col(field).eqNullSafe(F.lit(value))
-            out.append(F.when(differs, _variant("driver", field, text=value, display=value)))
-    for field in spec.numerics:
-        value = typical.get(field)
-        if value is not None:
-            differs = ~F.col(field).cast("double").eqNullSafe(F.lit(float(value)))
-            variant = _variant("driver", field, number=float(value), display=str(float(value)))
-            out.append(F.when(differs, variant))
-    return out
-
-
-def upgrades(spec: PanelSpec) -> list[Column]:
-    """One conditional what-if per strictly better rung of every ladder."""
+def options(spec: PanelSpec, typical: Mapping | None, kinds=KINDS) -> list[dict]:
+    """Every change that is tried at all, before looking at an entity's own values."""
     out = []
-    for field, ladder in spec.ladders.items():
-        rank = D.rank_in(ladder, F.col(field))
-        for i, option in enumerate(ladder):
-            step = F.lit(i + 1) - rank
+    if "base" in kinds:
+        out.append({"kind": "base", "display": ""})
+    if "driver" in kinds:
+        for field in spec.contract:
+            value = (typical or {}).get(field)
+            if value is None:
+                continue
+            new = {"text": value} if field in spec.categoricals else {"number": float(value)}
+            shown = value if field in spec.categoricals else str(float(value))
+            out.append({"kind": "driver", "field": field, "display": shown, **new})
+    if "action" in kinds:
+        for field, ladder in spec.ladders.items():
+            for i, value in enumerate(ladder):
+                out.append(
+                    {"kind": "action", "field": field, "text": value, "display": value, "rung": i + 1}
+                )
+    if "pay" in kinds and spec.pay_pitch:
+        for i, rise in enumerate(D.PAY_RISES):
             out.append(
-                F.when(step > 0, _variant("action", field, text=option, display=option, step=step))
+                {"kind": "pay", "field": spec.income, "number": rise, "display": f"+{rise:.0%}",
+                 "rung": i + 1}
             )
     return out
 
 
-def pay_rises(spec: PanelSpec) -> list[Column]:
-    income = F.coalesce(F.col(spec.income).cast("double"), F.lit(0.0))
-    return [
-        F.when(
-            income > 0,
-            _variant(
-                "pay", spec.income, number=D.pay_rise(income, rise),
-                display=f"+{rise:.0%}", step=i + 1,
-            ),
-        )
-        for i, rise in enumerate(D.PAY_RISES)
-    ]
+def variants(
+    df: DataFrame, spec: PanelSpec, typical: Mapping | None, kinds=KINDS, carry=()
+) -> DataFrame:
+    """The entity itself (``kind = base``) and its what-ifs, not yet scored.
+
+    Drivers: a field set to its typical value, unless it has it already. Actions: a
+    strictly better rung of a ladder (``step`` rungs up), for values that are on it.
+    Pay: a raised income, where there is one.
 
+    What an entity holds now is put into arrays once, before it multiplies, and looked up
+    by field number: code that is repeated per what-if stays small enough to be compiled.
+    """
+    columns = [spec.entity_id, *spec.contract, *carry]
+    number = {c: i for i, c in enumerate(spec.contract)}
+    tried = [{"no": number.get(o.get("field")), **o} for o in options(spec, typical, kinds)]
+    income = F.col(spec.income).cast("double")
+
+    nothing = F.lit(None)
+    texts = [F.col(c) if c in spec.categoricals else nothing.cast("string") for c in number]
+    numbers = [F.col(c).cast("double") if c in spec.numerics else nothing for c in number]
+    shown = [F.col(c) if c in spec.categoricals else F.col(c).cast("double") for c in number]
+    rungs = [
+        D.rank_in(spec.ladders[c], F.col(c)) if c in spec.ladders else nothing for c in number
+    ]
+    # A fixed number of partitions: adaptive execution would merge them by their size
+    # now, and each row is about to become up to fifty.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.select(*columns).repartition(partitions, F.col(spec.entity_id)).select(
+        *columns,
+        F.array(*texts).alias("_text"),
+        F.array(*numbers).cast("array<double>").alias("_number"),
+        F.array(*(c.cast("string") for c in shown)).alias("_shown"),
+        F.array(*rungs).cast("array<int>").alias("_rung"),
+    )
+    exploded = own.select(
+        "*", F.inline(F.from_json(F.lit(json.dumps(tried)), _OPTION_TYPE))
+    )
 
-def variants(df: DataFrame, spec: PanelSpec, typical: Mapping | None, *carry: str) -> DataFrame:
-    """The entity itself (``kind = base``) and all its what-ifs, not yet scored."""
-    columns = [spec.entity_id, *spec.contract]
-    choices = [_variant("base", None)]
-    choices += _drivers(spec, typical) if typical else []
-    choices += upgrades(spec)
-    choices += pay_rises(spec) if spec.pay_pitch else []
-    found = F.filter(F.array(*choices), lambda v: v.isNotNull())
-    spread = df.select(*columns, *carry).repartition(F.col(spec.entity_id))
-    exploded = spread.select(*columns, *carry, F.inline(found))
-    replaced, current = {}, F.lit(None).cast("string")
-    for c in spec.categoricals:
-        replaced[c] = F.when(F.col("field") == c, F.col("text")).otherwise(F.col(c))
-        current = F.when(F.col("field") == c, F.col(c)).otherwise(current)
-    for c in spec.numerics:
-        own = F.col(c).cast("double")
-        replaced[c] = F.when(F.col("field") == c, F.col("number")).otherwise(own)
-        current = F.when(F.col("field") == c, own.cast("string")).otherwise(current)
-    return exploded.select(
+    kind, no = F.col("kind"), F.col("no")
+    at_typical = F.get("_text", no).eqNullSafe(F.col("text")) & F.get("_number", no).eqNullSafe(
+        F.col("number")
+    )
+    kept = (
+        F.when(kind == "driver", ~at_typical)
+        .when(kind == "action", F.coalesce(F.col("rung") > F.get("_rung", no), F.lit(False)))
+        .when(kind == "pay", F.coalesce(income > 0, F.lit(False)))
+        .otherwise(True)
+    )
+    raised = F.when(kind == "pay", D.pay_rise(income, F.col("number"))).otherwise(F.col("number"))
+    replaced = [
+        F.when(no == i, F.col("text")).otherwise(F.col(c)).alias(c)
+        if c in spec.categoricals
+        else F.when(no == i, raised if c == spec.income else F.col("number"))
+        .otherwise(F.col(c).cast("double"))
+        .alias(c)
+        for c, i in number.items()
+    ]
+    return exploded.filter(kept).select(
         spec.entity_id,
         *carry,
         "kind",
         "field",
         "display",
-        "step",
-        current.alias("value"),
-        *(column.alias(c) for c, column in replaced.items()),
+        F.when(kind == "action", F.col("rung") - F.get("_rung", no))
+        .otherwise(F.coalesce("rung", F.lit(0)))
+        .alias("step"),
+        F.get("_shown", no).alias("value"),
+        *replaced,
     )
 
 
-def scored_variants(df: DataFrame, spec: PanelSpec, scorer: Scorer, typical: Mapping | None) -> DataFrame:
+def scored_variants(
+    df: DataFrame, spec: PanelSpec, scorer: Scorer, typical: Mapping | None, kinds=KINDS
+) -> DataFrame:
     """Every what-if with its score, the entity's own score and the difference."""
     own = scorer.score(engineer(df, spec)).withColumnRenamed("probability", "base")
-    scored = scorer.score(engineer(variants(own, spec, typical, "base"), spec))
+    scored = scorer.score(engineer(variants(own, spec, typical, kinds, ("base",)), spec))
     return scored.withColumn("delta", F.col("base") - F.col("probability"))
 
 
-def _shortlist(what_ifs: DataFrame, spec: PanelSpec) -> DataFrame:
-    """The base row, the top drivers and the top actions of every entity, in one pass.
+def _shortlist(what_ifs: DataFrame, spec: PanelSpec, *carry: str) -> DataFrame:
+    """The base row, the top drivers and the top actions of every entity.
 
-    ``list`` says which; ``position`` counts inside a list. Of several options for one
-    field the one that lowers the score most stays (the smallest step on ties).
+    ``list`` says which, ``position`` counts inside it. Of several options for one field
+    the one that lowers the score most stays, on ties the smallest step. The minimum
+    reduction is checked after the first ranking: placed before it, the filter would be
+    pushed through the scorer and have every what-if scored twice.
     """
-    key = spec.entity_id
-    group = F.when(F.col("kind") == "pay", "action").otherwise(F.col("kind"))
+    key, income = spec.entity_id, F.col(spec.income).cast("double")
+    narrow = what_ifs.select(
+        key, "kind", "field", "value", "display", "step", "delta", "probability",
+        income.alias("income"), *carry,
+        F.when(F.col("kind") == "pay", "action").otherwise(F.col("kind")).alias("list"),
+        F.bround("delta", 4).alias("effect"),
+    )
     per_field = W.partitionBy(key, "list", "field").orderBy(F.desc("delta"), "step")
     best = W.partitionBy(key, "list").orderBy(F.desc(F.abs("effect")), "field")
     length = (
@@ -135,11 +162,9 @@ def _shortlist(what_ifs: DataFrame, spec: PanelSpec) -> DataFrame:
         .otherwise(1)
     )
     return (
-        what_ifs.withColumn("list", group)
+        narrow.withColumn("_option", F.row_number().over(per_field))
+        .filter("_option = 1")
         .filter((F.col("list") != "action") | (F.col("delta") > MIN_REDUCTION))
-        .withColumn("_best", F.row_number().over(per_field))
-        .filter("_best = 1")
-        .withColumn("effect", F.bround("delta", 4))
         .withColumn("position", F.row_number().over(best))
         .filter(F.col("position") <= length)
     )
@@ -164,44 +189,63 @@ def _driver_fields(spec: PanelSpec) -> list[Column]:
 def _action_fields(spec: PanelSpec) -> list[Column]:
     is_pay = F.col("kind") == "pay"
     pitch = F.coalesce(literal_map(dict(spec.playbook), F.col("field")), F.lit(""))
+    raised = F.replace(F.lit(spec.pay_pitch), F.lit("%s"), F.col("display"))
     return [
         F.col("position"),
         F.col("field"),
         _label(spec).alias("label"),
         F.col("value").alias("from"),
-        F.when(is_pay, F.col(spec.income).cast("string")).otherwise(F.col("display")).alias("to"),
+        F.when(is_pay, F.col("income").cast("string")).otherwise(F.col("display")).alias("to"),
         F.col("display"),
         F.col("effect").alias("reduction"),
         F.bround("probability", 4).alias("new_probability"),
-        F.when(is_pay, F.format_string(spec.pay_pitch or "%s", F.col("display")))
-        .otherwise(pitch)
-        .alias("recommendation"),
+        F.when(is_pay, raised).otherwise(pitch).alias("recommendation"),
         F.col("kind"),
     ]
 
 
 def drivers(df: DataFrame, spec: PanelSpec, scorer: Scorer, typical: Mapping) -> DataFrame:
     """Per entity the fields whose typical value would move the score most."""
-    short = _shortlist(scored_variants(df, spec, scorer, typical), spec)
-    return short.filter("list = 'driver'").select(spec.entity_id, *_driver_fields(spec))
+    what_ifs = scored_variants(df, spec, scorer, typical, ("driver",))
+    return _shortlist(what_ifs, spec).select(spec.entity_id, *_driver_fields(spec))
 
 
 def actions(df: DataFrame, spec: PanelSpec, scorer: Scorer) -> DataFrame:
     """Per entity the single changes that lower the score most; only ever improvements."""
-    short = _shortlist(scored_variants(df, spec, scorer, None), spec)
-    return short.filter("list = 'action'").select(spec.entity_id, *_action_fields(spec))
+    what_ifs = scored_variants(df, spec, scorer, None, ("action", "pay"))
+    return _shortlist(what_ifs, spec).select(spec.entity_id, *_action_fields(spec))
 
 
 def explained(
     df: DataFrame, spec: PanelSpec, scorer: Scorer, typical: Mapping, threshold: float
 ) -> DataFrame:
     """One row per entity: score, decision, derived values, ``drivers`` and ``actions``."""
-    short = with_decision(
-        _shortlist(scored_variants(df, spec, scorer, typical), spec), spec, threshold
-    )
     names = spec.derived
     derived = [names.share, names.gap, names.pay, names.band] if names else []
-    head = F.struct(
+    short = _shortlist(scored_variants(df, spec, scorer, typical), spec, *derived)
+    part = F.col("list")
+
+    def listed(name: str, fields: list[Column]) -> Column:
+        # At most six rows; those of the other lists give null, which is left out.
+        return F.sort_array(F.collect_list(F.when(part == name, F.struct(*fields))))
+
+    own = F.struct("probability", "income", *derived)
+    flat = (
+        short.groupBy(spec.entity_id)
+        .agg(
+            F.max(F.when(part == "base", own)).alias("_own"),
+            listed("driver", _driver_fields(spec)).alias("drivers"),
+            listed("action", _action_fields(spec)).alias("actions"),
+        )
+        .select(
+            spec.entity_id, "drivers", "actions",
+            F.col("_own.probability").alias("probability"),
+            F.col("_own.income").alias(spec.income),
+            *(F.col(f"_own.{c}").alias(c) for c in derived),
+        )
+    )
+    return with_decision(flat, spec, threshold).select(
+        spec.entity_id,
         F.bround("probability", 4).alias("probability"),
         "percent",
         "will_leave",
@@ -210,17 +254,7 @@ def explained(
         "advice",
         F.lit(scorer.label).alias("model"),
         *([F.struct(*derived).alias("engineered")] if derived else []),
+        "drivers",
+        "actions",
         "cost_at_risk",
     )
-    in_list = F.col("list")
-
-    def listed(name: str, fields: list[Column]) -> Column:
-        # Unmatched rows give null, which collect_list leaves out.
-        return F.array_sort(F.collect_list(F.when(in_list == name, F.struct(*fields))))
-
-    grouped = short.groupBy(spec.entity_id).agg(
-        F.max(F.when(in_list == "base", head)).alias("_head"),
-        listed("driver", _driver_fields(spec)).alias("drivers"),
-        listed("action", _action_fields(spec)).alias("actions"),
-    )
-    return grouped.select(spec.entity_id, "_head.*", "drivers", "actions")

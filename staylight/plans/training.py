@@ -26,7 +26,7 @@ from staylight.operators.ordering import stratified_folds
 from staylight.operators.scoring import FittedScorer
 from staylight.operators.typical import typical_entity
 from staylight.spec import PanelSpec
-from staylight.workspace import new_path
+from staylight.workspace import new_path, written
 
 LABEL = "label"
 
@@ -117,16 +117,17 @@ def out_of_fold(
     with ThreadPoolExecutor(settings.parallel_fits) as pool:
         list(pool.map(one, jobs))
     scores = encoded.sparkSession.read.parquet(path)
-    return scores.groupBy(spec.entity_id).agg(
+    means = scores.groupBy(spec.entity_id).agg(
         F.max(LABEL).alias(LABEL), F.avg("probability").alias("probability")
     )
+    return written(means, "out-of-fold")
 
 
 def evaluate(scores: DataFrame, candidate: Candidate) -> dict:
     """The leaderboard row of one candidate."""
     curve = C.cumulative_counts(scores, LABEL, "probability")
     tuned = C.best_threshold(curve).first()
-    block = C.score_block(scores, LABEL, "probability", tuned["threshold"]).first()
+    block = C.score_block(scores, LABEL, "probability", tuned["threshold"], curve).first()
     return {
         "key": candidate.key,
         "label": candidate.label,
