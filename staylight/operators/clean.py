@@ -116,7 +116,11 @@ def _violation(field: str, rule: str, broken: Column) -> Column:
     return F.when(broken, found)
 
 
-def _rules(df: DataFrame, spec: PanelSpec) -> list[Column]:
+def _number_name(field: str) -> str:
+    return f"_number_{field}"
+
+
+def _rules(spec: PanelSpec) -> list[Column]:
     rules = []
     for field, allowed in spec.categoricals.items():
         value = F.col(field)
@@ -124,25 +128,30 @@ def _rules(df: DataFrame, spec: PanelSpec) -> list[Column]:
         if allowed:
             rules.append(_violation(field, "unknown category", ~value.isin(*allowed)))
     for field in spec.numerics:
-        value = F.col(field)
-        number = value.cast("double") if _is_numeric(df, field) else parsed_number(value)
+        value, number = F.col(field), F.col(_number_name(field))
         rules.append(_violation(field, "missing", value.isNull()))
-        rules.append(
-            _violation(field, "not a number", value.isNotNull() & (number.isNull() | F.isnan(number)))
-        )
+        rules.append(_violation(field, "not a number", value.isNotNull() & number.isNull()))
         if field in spec.whole_numbers:
             rules.append(_violation(field, "not a whole number", number != F.floor(number)))
         if field in spec.ranges:
             low, high = spec.ranges[field]
             rules.append(_violation(field, "below minimum", number < low))
-            rules.append(_violation(field, "above maximum", (number > high) & ~F.isnan(number)))
+            rules.append(_violation(field, "above maximum", number > high))
     return rules
 
 
 def with_violations(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Add ``violations``: every broken rule of the row, in one pass."""
-    rules = F.array(*_rules(df, spec))
-    return df.withColumn("violations", F.filter(rules, lambda v: v.isNotNull()))
+    """Add ``violations``: every broken rule of the row, in one pass.
+
+    Numbers are read once per cell, before the rules that look at them.
+    """
+    numbers = {
+        _number_name(c): F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        if _is_numeric(df, c) else parsed_number(F.col(c))
+        for c in spec.numerics
+    }
+    found = F.filter(F.array(*_rules(spec)), lambda v: v.isNotNull())
+    return df.withColumns(numbers).withColumn("violations", found).drop(*numbers)
 
 
 def split_valid(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylight.functions import derived as D
-from staylight.functions.cells import literal_map
 from staylight.operators.features import engineer
 from staylight.spec import PanelSpec
 
@@ -24,6 +23,13 @@ class Scorer(Protocol):
         """Add ``probability`` to a frame that has the model columns."""
 
 
+def _points(value: Column, table: Mapping[str, float]) -> Column:
+    case = F.lit(0.0)
+    for category, points in table.items():
+        case = F.when(value == category, F.lit(float(points))).otherwise(case)
+    return case
+
+
 @dataclass(frozen=True)
 class Scorecard:
     """A fixed logistic score: points per category, and slopes on standardised numbers.
@@ -41,7 +47,7 @@ class Scorecard:
     def probability(self) -> Column:
         z = F.lit(float(self.intercept))
         for column, table in self.points.items():
-            z = z + F.coalesce(literal_map(dict(table), F.col(column)), F.lit(0.0))
+            z = z + _points(F.col(column), table)
         for column, (centre, scale, weight) in self.slopes.items():
             z = z + (F.col(column) - centre) / scale * weight
         return 1.0 / (1.0 + F.exp(-z))
