@@ -278,16 +278,13 @@ def m1_one_hot_slots(spark, sf):
 
 
 def m2_scaling_stats(spark, sf):
-    stats = M.scaling_stats(enriched(spark, sf), SPEC)
-    rows = [
-        F.struct(
-            F.lit(c).alias("field"),
-            F.bround(f"{c}_mean", 6).alias("mean"),
-            F.bround(f"{c}_sd", 6).alias("sd"),
-        )
-        for c in SPEC.model_numerics
-    ]
-    return stats.select(F.inline(F.array(*rows)))
+    frame = written(model_frame(panel(spark, sf), SPEC, ID), "scaling-rows")
+    encoded = M.fit_encoder(frame, SPEC).transform(frame)
+    scaler, correction = M.fit_scaler(encoded, encoded.count())
+    figures = spark.createDataFrame(
+        M.scaling_figures(scaler, correction, SPEC), "field string, mean double, sd double"
+    )
+    return figures.select("field", F.bround("mean", 6).alias("mean"), F.bround("sd", 6).alias("sd"))
 
 
 def m7_permutation_importance(spark, sf):
@@ -344,7 +341,8 @@ def _fitted(position):
     """Fit one candidate on every row and score every row with it."""
 
     def query(spark, sf):
-        frame = TR.training_rows(panel(spark, sf), SPEC)
+        # Written first: fitting reads the rows several times.
+        frame = written(TR.training_rows(panel(spark, sf), SPEC), "training-rows")
         encoder = M.fit_encoder(frame, SPEC)
         candidate = M.candidates(SMALL.trees, SMALL.boosting_rounds)[position]
         stages = M.fit_stages(encoder.transform(frame), SPEC, TR.LABEL, candidate, SEED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,7 +12,15 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    ElementwiseProduct,
+    OneHotEncoder,
+    StandardScaler,
+    StandardScalerModel,
+    StringIndexer,
+    VectorAssembler,
+)
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,12 +90,12 @@ def _hot(c: str) -> str:
     return f"{c}__hot"
 
 
-def _scaled(c: str) -> str:
-    return f"{c}__z"
+#: Vector columns of an encoded frame: one-hot categories, and raw numbers.
+CATEGORIES, NUMBERS = "categories", "numbers"
 
 
 def fit_encoder(frame: DataFrame, spec: PanelSpec) -> PipelineModel:
-    """One-hot encoding of the model categoricals.
+    """One-hot encoding of the model categoricals, and the numerics as one vector.
 
     Every known category has its own slot; unseen and missing ones are all zeros.
     """
@@ -101,29 +110,39 @@ def fit_encoder(frame: DataFrame, spec: PanelSpec) -> PipelineModel:
         inputCols=[_indexed(c) for c in columns], outputCols=[_hot(c) for c in columns],
         dropLast=True,
     )
-    return Pipeline(stages=[indexer, encoder]).fit(frame)
-
+    categories = VectorAssembler(inputCols=[_hot(c) for c in columns], outputCol=CATEGORIES)
+    numbers = VectorAssembler(inputCols=list(spec.model_numerics), outputCol=NUMBERS)
+    return Pipeline(stages=[indexer, encoder, categories, numbers]).fit(frame)
 
-def scaling_stats(frame: DataFrame, spec: PanelSpec) -> DataFrame:
-    """``<column>_mean`` and population ``<column>_sd`` of the model numerics, one row."""
-    return frame.agg(
-        *(F.avg(c).alias(f"{c}_mean") for c in spec.model_numerics),
-        *(F.stddev_pop(c).alias(f"{c}_sd") for c in spec.model_numerics),
-    )
 
+def fit_scaler(encoded: DataFrame, rows: int) -> tuple[StandardScalerModel, ElementwiseProduct]:
+    """Standardise the numbers by mean and *population* deviation; constants become 0.
 
-def scaler(stats, spec: PanelSpec) -> SQLTransformer:
-    """Standardise by the given means and population deviations; constants become 0."""
-    parts = []
-    for c in spec.model_numerics:
-        mean, sd = stats[f"{c}_mean"] or 0.0, stats[f"{c}_sd"] or 0.0
-        parts.append(f"(`{c}` - {mean!r}D) / {sd or 1.0!r}D AS `{_scaled(c)}`")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
+    The stock scaler divides by the sample deviation, a product by a constant corrects
+    that. Both keep their figures in vectors, so the compiled code is the same for every
+    fit.
+    """
+    scaler = StandardScaler(
+        inputCol=NUMBERS, outputCol="centred", withMean=True, withStd=True
+    ).fit(encoded)
+    factor = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
+    correction = ElementwiseProduct(
+        scalingVec=Vectors.dense([factor] * scaler.mean.size),
+        inputCol="centred", outputCol="scaled",
+    )
+    return scaler, correction
 
 
-def assembler(spec: PanelSpec) -> VectorAssembler:
-    columns = [_hot(c) for c in spec.model_categoricals] + [_scaled(c) for c in spec.model_numerics]
-    return VectorAssembler(inputCols=columns, outputCol="features")
+def scaling_figures(
+    scaler: StandardScalerModel, correction: ElementwiseProduct, spec: PanelSpec
+) -> list[tuple[str, float, float]]:
+    """``(column, mean, population deviation)`` that a fitted scaling works with."""
+    factors = correction.getScalingVec().toArray()
+    deviations = scaler.std.toArray() / factors
+    return [
+        (c, float(m), float(d))
+        for c, m, d in zip(spec.model_numerics, scaler.mean.toArray(), deviations)
+    ]
 
 
 @dataclass(frozen=True)
@@ -142,25 +161,22 @@ def fit_stages(
     encoded: DataFrame, spec: PanelSpec, label: str, candidate: Candidate, seed: int = 42
 ) -> FittedStages:
     """Fit a candidate on encoded rows; means and class weights come from these rows only."""
-    counts = (F.count("*").alias("_rows"), F.sum(F.col(label).cast("double")).alias("_yes"))
-    stats = encoded.agg(
-        *counts,
-        *(F.avg(c).alias(f"{c}_mean") for c in spec.model_numerics),
-        *(F.stddev_pop(c).alias(f"{c}_sd") for c in spec.model_numerics),
+    totals = encoded.agg(
+        F.count("*").alias("rows"), F.sum(F.col(label).cast("double")).alias("yes")
     ).first()
-    rows, yes = stats["_rows"], stats["_yes"] or 0.0
+    rows, yes = totals["rows"], totals["yes"] or 0.0
     if not 0 < yes < rows:
         raise ValueError("training rows need both outcomes")
-    scale, assemble = scaler(stats, spec), assembler(spec)
-    estimator = candidate.estimator(rows, seed).copy()
-    estimator.setLabelCol(label).setFeaturesCol("features")
-    ready = assemble.transform(scale.transform(encoded))
+    scaler, correction = fit_scaler(encoded, rows)
+    assemble = VectorAssembler(inputCols=[CATEGORIES, "scaled"], outputCol="features")
+    ready = FittedStages((scaler, correction, assemble)).transform(encoded)
     columns = [F.col(label).cast("double").alias(label), F.col("features")]
     if candidate.balanced:
         weight = F.when(F.col(label) == 1, rows / (2 * yes)).otherwise(rows / (2 * (rows - yes)))
         columns.append(weight.alias(WEIGHT))
-    model = estimator.fit(ready.select(*columns))
-    return FittedStages((scale, assemble, model))
+    estimator = candidate.estimator(rows, seed).copy()
+    model = estimator.setLabelCol(label).setFeaturesCol("features").fit(ready.select(*columns))
+    return FittedStages((scaler, correction, assemble, model))
 
 
 def as_pipeline(encoder: PipelineModel, fitted: FittedStages) -> PipelineModel:

@@ -6,7 +6,6 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,31 +180,28 @@ def train(
 
     frame = training_rows(df, spec)
     encoder = fit_encoder(frame, spec)
-    # Read by every fit. On a lost executor the blocks are recomputed, to the same rows.
-    encoded = with_folds(encoder.transform(frame), spec, settings).persist(
-        StorageLevel.MEMORY_AND_DISK
+    # Read by every fit, so written once: the fits' many small jobs then carry a plan that
+    # only reads a table, and a lost executor costs no more than reading it again.
+    encoded = written(with_folds(encoder.transform(frame), spec, settings), "encoded")
+
+    scores = {c.key: out_of_fold(encoded, spec, c, settings) for c in competitors}
+    board = [evaluate(scores[c.key], c) for c in competitors]
+    best = max(board, key=lambda row: row["roc_auc"] or 0.0)  # the first one on ties
+    winner = next(c for c in competitors if c.key == best["key"])
+    oof, threshold = scores[winner.key], best["threshold"]
+
+    final = as_pipeline(encoder, fit_stages(encoded, spec, LABEL, winner, settings.seed))
+    totals = encoded.agg(F.count("*").alias("rows"), F.avg(LABEL).alias("rate")).first()
+    seconds = round(time.perf_counter() - started, 1)
+    rows, model = _importance_model(encoded, encoder, spec, winner, settings, final)
+    measured = feature_importance(
+        rows.select(spec.entity_id, LABEL, *spec.model_columns), spec, LABEL,
+        FittedScorer(winner.label, model), settings.importance_repeats, settings.seed,
     )
-    try:
-        scores = {c.key: out_of_fold(encoded, spec, c, settings) for c in competitors}
-        board = [evaluate(scores[c.key], c) for c in competitors]
-        best = max(board, key=lambda row: row["roc_auc"] or 0.0)  # the first one on ties
-        winner = next(c for c in competitors if c.key == best["key"])
-        oof, threshold = scores[winner.key], best["threshold"]
-
-        final = as_pipeline(encoder, fit_stages(encoded, spec, LABEL, winner, settings.seed))
-        totals = encoded.agg(F.count("*").alias("rows"), F.avg(LABEL).alias("rate")).first()
-        seconds = round(time.perf_counter() - started, 1)
-        rows, model = _importance_model(encoded, encoder, spec, winner, settings, final)
-        measured = feature_importance(
-            rows.select(spec.entity_id, LABEL, *spec.model_columns), spec, LABEL,
-            FittedScorer(winner.label, model), settings.importance_repeats, settings.seed,
-        )
-        importance = spark.createDataFrame(
-            top_features(measured).collect(), "feature string, importance double, std double"
-        ).withColumn("rows", F.lit(settings.importance_rows))
-        typical = typical_entity(encoded, spec)
-    finally:
-        encoded.unpersist()
+    importance = spark.createDataFrame(
+        top_features(measured).collect(), "feature string, importance double, std double"
+    ).withColumn("rows", F.lit(settings.importance_rows))
+    typical = typical_entity(encoded, spec)
 
     trained_at = time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())
     fits = len(competitors) * settings.folds * settings.repeats

@@ -35,19 +35,25 @@ def test_one_hot_leaves_unseen_values_empty(spark, rows):
 
 
 def test_scaling_uses_the_population_deviation(rows):
-    stats = M.scaling_stats(rows, HR).first()
-    scaled = M.scaler(stats, HR).transform(rows).agg(F.avg("Age__z"), F.stddev_pop("Age__z")).first()
-    assert scaled[0] == pytest.approx(0, abs=1e-9) and scaled[1] == pytest.approx(1)
-    constant = rows.withColumn("Age", F.lit(30.0))
-    assert M.scaler(M.scaling_stats(constant, HR).first(), HR).transform(constant).agg(F.max("Age__z")).first()[0] == 0
+    constant = rows.withColumn("DistanceFromHome", F.lit(3.0))
+    encoded = M.fit_encoder(constant, HR).transform(constant)
+    scaler, correction = M.fit_scaler(encoded, 80)
+    scaled = correction.transform(scaler.transform(encoded)).select(vector_to_array("scaled").alias("x"))
+    x = np.array([r.x for r in scaled.collect()])
+    raw = np.array([[float(r[c]) for c in HR.model_numerics] for r in constant.collect()])
+    sd = raw.std(axis=0)
+    want = (raw - raw.mean(axis=0)) / np.where(sd < 1e-9, 1, sd)
+    assert np.allclose(np.sort(x, axis=0), np.sort(want, axis=0), atol=1e-9)
+    figures = {c: (m, d) for c, m, d in M.scaling_figures(scaler, correction, HR)}
+    assert figures["Age"] == pytest.approx((raw[:, 0].mean(), sd[0]))
 
 
 def test_logistic_solves_the_penalised_weighted_problem(rows):
     encoder = M.fit_encoder(rows, HR)
     encoded = encoder.transform(rows)
     fitted = M.fit_stages(encoded, HR, LABEL, M.candidates()[0])
-    scale, assemble, model = fitted.stages
-    ready = assemble.transform(scale.transform(encoded))
+    *prepare, model = fitted.stages
+    ready = M.FittedStages(tuple(prepare)).transform(encoded)
     data = ready.select(vector_to_array("features").alias("x"), LABEL).collect()
     x, y = np.array([r.x for r in data]), np.array([r[LABEL] for r in data], float)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
