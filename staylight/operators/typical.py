@@ -128,7 +128,10 @@ def _settled(df: DataFrame, brackets: dict) -> dict:
 
 
 def typical_entity(frame: DataFrame, spec: PanelSpec) -> dict[str, object]:
-    """``column -> typical value`` over the model columns of ``frame``."""
+    """``column -> typical value`` over the model columns of ``frame``.
+
+    Reads ``frame`` three times or more; pass a stored table when it is costly to derive.
+    """
     out = {r.field: r.value for r in modes(frame, spec.model_categoricals).collect()}
     out |= medians(frame, spec.model_numerics)
     return {c: out.get(c) for c in spec.model_columns}

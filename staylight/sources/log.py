@@ -99,6 +99,6 @@ def clear(spark: SparkSession, path: str) -> int:
     """Empty the log; returns how many rows it held."""
     removed = read_log(spark, path).count()
     empty = spark.createDataFrame([], LOG_TYPE)
-    # Not partitioned: an empty partitioned write would leave the old folders in place.
+    # Not partitioned: under dynamic overwrite an empty partitioned write removes nothing.
     empty.drop("score_date").write.mode("overwrite").parquet(path)
     return removed
