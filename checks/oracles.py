@@ -590,6 +590,20 @@ UNION ALL SELECT 'rates are proportions', count(*) = 0, count(*) FROM rates WHER
 UNION ALL SELECT 'breakdowns cover all rows', count(*) = 0, count(*) FROM (
   SELECT attribute, sum(total) AS total FROM rates GROUP BY 1) WHERE total <> (SELECT n FROM facts)"""
     doc_rates = breakdown_cte("docs", DOCUMENTS, list(DOCUMENTS.breakdowns), "n_chars")
+    doc_order = rank_case("attribute", list(DOCUMENTS.breakdowns))
+    doc_base = "(SELECT avg(CASE toxic WHEN 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM docs)"
+    doc_segments = f"""SELECT CAST(row_number() OVER (ORDER BY attrition_rate DESC, ord, position) AS INTEGER) AS position,
+  caption || ': ' || category AS segment, total AS employees, attrition_rate,
+  {even(f"coalesce(attrition_rate / nullif({doc_base}, 0), 0)", 2)} AS lift
+FROM (SELECT *, {doc_order} AS ord FROM rates WHERE NOT monitor_only AND total >= 8)
+ORDER BY attrition_rate DESC, ord, position LIMIT 8"""
+    doc_typical = " UNION ALL ".join(
+        [f"SELECT {q(c)} AS field, 'category' AS kind, (SELECT {c} FROM docs GROUP BY {c} "
+         f"ORDER BY count(*) DESC, {c} LIMIT 1) AS text, CAST(NULL AS DOUBLE) AS number"
+         for c in DOCUMENTS.model_categoricals]
+        + [f"SELECT {q(c)}, 'number', CAST(NULL AS VARCHAR), median(CAST({c} AS DOUBLE)) FROM docs"
+           for c in DOCUMENTS.model_numerics]
+    )
     return {
         "account_panel": f"WITH {PANEL} SELECT * FROM panel",
         "document_panel": f"WITH {DOC_PANEL} SELECT * FROM docs",
@@ -635,7 +649,9 @@ UNION ALL SELECT 'breakdowns cover all rows', count(*) = 0, count(*) FROM (
         "a4_spend_histogram": f"WITH {FEAT}, " + bins("monthly_spend", [5000, 10000, 15000, 20000], label="''"),
         "a4_document_histogram": f"WITH {DOC_PANEL}, " + bins("n_chars", [0, 500, 1000, 2000, 4000], "docs", "toxic", "''"),
         "a5_risk_segments": f"WITH {FEAT},{rates} {segments}",
+        "a5_document_segments": f"WITH {DOC_PANEL},{doc_rates} {doc_segments}",
         "a6_typical_account": typical,
+        "a6_typical_document": f"WITH {DOC_PANEL} {doc_typical}",
         "a7_batch_summary": f"WITH {SCORED} SELECT count(*) AS \"count\", count(*) FILTER (WHERE p >= {THRESHOLD}) AS flagged, {rate4(f'count(*) FILTER (WHERE p >= {THRESHOLD})', 'count(*)')} AS flagged_share, CAST({even('sum(monthly_spend * 6 * p)', 0)} AS BIGINT) AS cost_at_risk, {THRESHOLD}::DOUBLE AS threshold FROM scored",
         "a8_log_summary": f"WITH {LOG} {LOG_SUMMARY}",
         "t1_roster": f"WITH {FEAT} SELECT * EXCLUDE (level_rank) FROM feat",

@@ -231,6 +231,11 @@ def a5_risk_segments(spark, sf):
     return B.risk_segments(B.breakdowns(df, SPEC), B.overall_rate(df, SPEC), SPEC)
 
 
+def a5_document_segments(spark, sf):
+    df = document_panel(spark, sf)
+    return B.risk_segments(B.breakdowns(df, DOCUMENTS), B.overall_rate(df, DOCUMENTS), DOCUMENTS)
+
+
 def t2_ranked_batch(spark, sf):
     return S.ranked_batch(scored(spark, sf), SPEC, THRESHOLD, F.lit(0)).drop("row")
 
@@ -480,6 +485,8 @@ def queries() -> dict[str, Query]:
             document_panel(s, d), DOCUMENTS, "n_chars", (0, 500, 1000, 2000, 4000)
         ),
         "a5_risk_segments": a5_risk_segments,
+        "a5_document_segments": a5_document_segments,
+        "a6_typical_document": lambda s, d: typical_table(document_panel(s, d), DOCUMENTS),
         "a6_typical_account": lambda s, d: typical_table(_kept(s, d), SPEC),
         "a7_batch_summary": lambda s, d: S.batch_summary(scored(s, d), SPEC, THRESHOLD),
         "a8_log_summary": lambda s, d: log.summary(_log(s, d)),
