@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as registered
+from checks import oracles
+from checks import queries as library
 from checks.compare import compare
 
 FOLDER = "/root/testdata/sf0.001"
@@ -12,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the tes
 
 
 def test_every_query_without_sql_is_a_fitted_model():
-    without = set(registered.queries()) - set(registered.oracle_sql())
+    without = set(library.queries()) - set(oracles.oracle_sql())
     assert without == {
         "m4a_logistic_scores", "m4b_forest_scores", "m4c_boosting_scores", "m5_out_of_fold",
         "m6_model_card", "t6_leaderboard", "m11_fitted_explained", "s6_metric_tables",
