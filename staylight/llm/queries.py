@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from staylight.llm.bpe import decode_documents, encode_documents
 from staylight.llm.license_scan import scan_licenses
 from staylight.llm.line_rules import clean_lines
+from staylight.llm.token_count import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,9 +34,26 @@ def op7_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return clean_lines(_table(spark, sf, "documents")).drop("clean_text")
 
 
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = decode_documents(encode_documents(_table(spark, sf, "documents"), ranks), ranks)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_count(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    return count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(_table(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_line_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
