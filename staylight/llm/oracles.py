@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+OP1_WARC = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), g AS (
+    SELECT payload_digest, payload_bytes, max(page_id) AS newest
+    FROM d WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN newest IS NOT NULL AND page_id IS DISTINCT FROM newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM newest THEN newest END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest, payload_bytes)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_WARC}

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from staylight.llm.bpe import decode_documents, encode_documents
 from staylight.llm.license_scan import scan_licenses
 from staylight.llm.line_rules import clean_lines
+from staylight.llm.secret_scan import joined, scan_secrets
 from staylight.llm.token_count import count_tokens
+from staylight.llm.warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,25 @@ def _find_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    return archived(_table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    found = scan_secrets(_table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op7_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return clean_lines(_table(spark, sf, "documents")).drop("clean_text")
 
@@ -56,4 +77,4 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
