@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylight.llm.bpe import decode_documents, encode_documents
+from staylight.llm.decontaminate import contaminated
 from staylight.llm.license_scan import scan_licenses
 from staylight.llm.line_rules import clean_lines
+from staylight.llm.pu_quality import learn, scored
 from staylight.llm.secret_scan import joined, scan_secrets
 from staylight.llm.token_count import count_tokens
 from staylight.llm.warc import archived
@@ -51,6 +53,17 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_pu_quality(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    docs = _table(spark, sf, "documents")
+    return scored(docs, learn(docs, _table(spark, sf, "labels")))
+
+
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op7_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return clean_lines(_table(spark, sf, "documents")).drop("clean_text")
 
@@ -77,4 +90,4 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op4_pu_quality, op6_decontamination, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
