@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from staylight.llm.bpe import decode_documents, encode_documents
 from staylight.llm.decontaminate import contaminated
 from staylight.llm.license_scan import scan_licenses
+from staylight.llm.line_dedup import without_repeats
 from staylight.llm.line_rules import clean_lines
 from staylight.llm.pu_quality import learn, scored
 from staylight.llm.secret_scan import joined, scan_secrets
@@ -53,6 +54,12 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return without_repeats(docs)
+
+
 def op4_pu_quality(spark: SparkSession, sf: str) -> DataFrame:
     _find_package(spark)
     docs = _table(spark, sf, "documents")
@@ -90,4 +97,4 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op4_pu_quality, op6_decontamination, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_line_dedup, op4_pu_quality, op6_decontamination, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
