@@ -17,6 +17,40 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d LEFT JOIN g USING (payload_digest, payload_bytes)
 """
 
+#: Every pair that shares a shingle is counted: brute force, for small tables.
+OP5_NEAR_DUP = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, shingle FROM (
+        SELECT doc_id, unnest(CASE
+            WHEN len(words) = 0 THEN []
+            WHEN len(words) < 4 THEN [words]
+            ELSE list_transform(range(1, len(words) - 2), lambda i: words[i:i + 3]) END) AS shingle
+        FROM w)
+), n AS (
+    SELECT doc_id, count(shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+    FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+    SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)
+), edge AS (
+    SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM n
+    UNION
+    SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), component AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN component USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_WARC}
+    return {"op1_warc": OP1_WARC, "op5_near_dup": OP5_NEAR_DUP}

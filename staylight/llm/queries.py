@@ -14,6 +14,7 @@ from staylight.llm.decontaminate import contaminated
 from staylight.llm.license_scan import scan_licenses
 from staylight.llm.line_dedup import without_repeats
 from staylight.llm.line_rules import clean_lines
+from staylight.llm.near_dup import Hashing, near_duplicates
 from staylight.llm.pu_quality import learn, scored
 from staylight.llm.secret_scan import joined, scan_secrets
 from staylight.llm.token_count import count_tokens
@@ -66,6 +67,11 @@ def op4_pu_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored(docs, learn(docs, _table(spark, sf, "labels")))
 
 
+def op5_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    return near_duplicates(_table(spark, sf, "documents"), Hashing(words=4))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     _find_package(spark)
     return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
@@ -97,4 +103,4 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_line_dedup, op4_pu_quality, op6_decontamination, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_line_dedup, op4_pu_quality, op5_near_dup, op6_decontamination, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
