@@ -108,13 +108,15 @@ def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
     are joined, so a very frequent one is small where it is gathered, and its rows meet it
     in a join that Spark splits. A document's spans are at most as many as its lines.
     """
-    prints = _prints(docs, runs)
-    firsts = (
+    prints = written(_prints(docs, runs), "prints")
+    # Written, so that the join below gets both sides freshly dealt and can split a hot print.
+    firsts = written(
         prints.select("print", "size", F.struct("doc_id", "place").alias("where"))
         .groupBy("print", "size")
         .agg(F.min("where").alias("first"), F.count("*").alias("rows"))
         .filter("rows > 1")
-        .drop("rows")
+        .drop("rows"),
+        "first-prints",
     )
     shared = written(prints.join(firsts, ["print", "size"]), "repeated-prints")
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
