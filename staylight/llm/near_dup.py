@@ -185,7 +185,10 @@ def links(docs: DataFrame, nodes: DataFrame, hashing: Hashing) -> DataFrame:
     when all pairs from different components of a bucket have been compared.
     """
     rows = nodes.select("node", F.explode("buckets").alias("bucket"))
-    smallest = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    # Written, like every grouped side below, so that joins get both sides freshly dealt and can split hot keys.
+    smallest = written(
+        rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "stars"
+    )
     members = written(rows.join(smallest, "bucket"), "bucket-members")
     stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     sets = written(_sets(docs, members.select("node").distinct(), hashing), "shingle-sets")
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, hashing: Hashing = Hashing()) -> DataFrame:
     """
     found = written(signed(docs, hashing), "signatures")
     usable = found.filter("set_id is not null and doc_id is not null")
-    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    classes = written(usable.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes")
     met = usable.join(classes, "set_id")
     nodes = written(met.filter("doc_id = node").select("node", "buckets"), "nodes")
     labels = links(docs, nodes, hashing)
