@@ -660,7 +660,7 @@ ORDER BY attrition_rate DESC, ord, position LIMIT 8"""
         # evaluation
         "a9_confusion": f"WITH {SCORED} {CONFUSION}",
         "a10_a11_metrics": METRICS,
-        "w1_cumulative_counts": f"WITH {CURVE} SELECT * FROM curve",
+        "w1_cumulative_counts": f"WITH {CURVE} SELECT * EXCLUDE (code) FROM curve",
         "w2_roc_points": f"WITH {ROC} SELECT point, {even('x', 6)} AS x, {even('y', 6)} AS y FROM points",
         "w3_pr_points": f"WITH {PR} SELECT point, {even('x', 6)} AS x, {even('y', 6)} AS y FROM points",
         "w4_thinned_roc": "WITH " + thin(ROC, "roc"),
@@ -680,6 +680,20 @@ ORDER BY attrition_rate DESC, ord, position LIMIT 8"""
         "s3_score_file": f"WITH {SCORED} SELECT CAST(account_id AS VARCHAR) AS account_id, {even('p', 6)} AS probability FROM scored",
         "s5_stored_breakdowns": f"WITH {FEAT},{rates} SELECT {rate_columns} FROM rates",
         "s8_exported_ranking": f"WITH {SCORED} SELECT CAST(account_id AS VARCHAR) AS account_id, probability, percent, risk_band, will_leave FROM ({ranked})",
+        "s3_batch_ranked": f"""WITH {SCORED}, numbered AS (
+  SELECT *, row_number() OVER (ORDER BY account_id) AS "row" FROM scored)
+SELECT "row", CASE WHEN segment = 'MACHINERY' THEN 'row-' || "row" ELSE CAST(account_id AS VARCHAR) END AS account_id,
+  segment, nation, tenure_years, monthly_spend, {even('p', 4)} AS probability, {even('p * 100', 1)} AS percent,
+  {BAND} AS risk_band, p >= {THRESHOLD} AS will_leave FROM numbered WHERE segment <> 'BUILDING'""",
+        "s3_batch_rejected": f"""WITH {PANEL}, numbered AS (
+  SELECT *, row_number() OVER (ORDER BY account_id) AS "row" FROM panel)
+SELECT "row", CAST(account_id AS VARCHAR) AS account_id, 'tier' AS field, 'unknown category' AS rule,
+  'Platinum' AS value FROM numbered WHERE segment = 'BUILDING'""",
+        "a7_batch_summary_of_file": f"WITH {SCORED} SELECT count(*) AS \"count\", count(*) FILTER (WHERE p >= {THRESHOLD}) AS flagged, {rate4(f'count(*) FILTER (WHERE p >= {THRESHOLD})', 'count(*)')} AS flagged_share, CAST({even('sum(monthly_spend * 6 * p)', 0)} AS BIGINT) AS cost_at_risk, {THRESHOLD}::DOUBLE AS threshold FROM scored WHERE segment <> 'BUILDING'",
+        "s9_shared_log": f"WITH {LOG} SELECT s AS source, id, employee_ref, probability, will_leave FROM log, unnest(['batch', 'stream', 'again']) AS u(s)",
+        "m11_rows_without_own_ids": f"""WITH {SCORED} SELECT CASE WHEN segment = 'BUILDING' THEN 1
+  WHEN segment <> 'MACHINERY' THEN account_id END AS account_id, count(*) AS n,
+  count(*) FILTER (WHERE p >= {THRESHOLD}) AS flagged FROM scored GROUP BY 1""",
         "s9_stored_log": f"WITH {LOG} SELECT {LOG_COLUMNS} FROM log",
         "r1_streamed_log": f"WITH {LOG} SELECT {LOG_COLUMNS.replace('source', q('stream') + ' AS source')} FROM log",
         "r2_streamed_summary": f"WITH {LOG} {LOG_SUMMARY}",

@@ -34,6 +34,7 @@ from staylight.operators.ordering import stratified_folds
 from staylight.operators.quality import quality_checks
 from staylight.operators.typical import typical_entity, typical_table
 from staylight.plans import training as TR
+from staylight.plans.batch import Batch, score_batch
 from staylight.scorecards import ACCOUNT_SCORECARD
 from staylight.sources import files, log, store
 from staylight.sources.accounts import account_panel, document_panel
@@ -94,7 +95,23 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def curve(spark: SparkSession, sf: str) -> DataFrame:
-    return C.cumulative_counts(labelled(spark, sf), "label", "probability")
+    return C.cumulative_counts(_level(labelled(spark, sf)), "label", "probability")
+
+
+def _level(df: DataFrame) -> DataFrame:
+    """Scores as the SQL side has them: the two engines' ``exp`` may differ in its last bit, which
+    would tell equal scores apart, so the comparison (not the library) rounds its input."""
+    return df.withColumn("probability", F.round(F.col("probability") * 1_000_000, 0).cast("bigint") / 1_000_000)
+
+
+class _Level:
+    """A scorer whose scores are levelled."""
+
+    def __init__(self, scorer):
+        self.scorer, self.label = scorer, scorer.label
+
+    def score(self, frame: DataFrame) -> DataFrame:
+        return _level(self.scorer.score(frame))
 
 
 def _p6(df: DataFrame, *columns: str) -> DataFrame:
@@ -172,7 +189,6 @@ def _kept(spark, sf):
     return written(enriched(spark, sf), "enriched")
 
 
-@functools.cache
 def _typical(spark, sf):
     return typical_entity(_kept(spark, sf), SPEC)
 
@@ -218,7 +234,7 @@ def _log_columns(rows: DataFrame) -> DataFrame:
             "payload_id": F.get_json_object("payload", f"$.{ID}"),
             "payload_spend": F.get_json_object("payload", "$.monthly_spend").cast("double"),
         }
-    ).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).drop("payload")
+    ).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).drop("payload", "run")
 
 
 # --- reports -----------------------------------------------------------------------------
@@ -241,7 +257,7 @@ def t2_ranked_batch(spark, sf):
 
 
 def t3_recent_log(spark, sf):
-    newest = log.recent(_log(spark, sf), 25)
+    newest = log.recent(_log(spark, sf).withColumn("run", F.lit("one")), 25)
     return newest.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
@@ -300,7 +316,7 @@ def m2_scaling_stats(spark, sf):
 def m7_permutation_importance(spark, sf):
     frame = written(TR.training_rows(panel(spark, sf), SPEC), "importance-rows")
     return feature_importance(
-        frame, SPEC, TR.LABEL, ACCOUNT_SCORECARD, IMPORTANCE_REPEATS, SEED
+        frame, SPEC, TR.LABEL, _Level(ACCOUNT_SCORECARD), IMPORTANCE_REPEATS, SEED
     )
 
 
@@ -384,7 +400,51 @@ def m11_fitted_explained(spark, sf):
 def s3_score_file(spark, sf):
     path = new_path(spark, "upload")
     panel(spark, sf).write.option("header", True).csv(path)
-    return _p6(files.score_file(spark, path, SPEC, ACCOUNT_SCORECARD), ID)
+    return _p6(files.score_file(spark, path, SPEC, ACCOUNT_SCORECARD)[0], ID)
+
+
+def _batch(spark, sf, **options) -> Batch:
+    """An upload in account order: one segment comes with an unknown tier, one without ids."""
+    c, path = F.col, new_path(spark, "batch")
+    upload = panel(spark, sf).orderBy(ID).withColumns(
+        {
+            "tier": F.when(c("segment") == "BUILDING", "Platinum").otherwise(c("tier")),
+            ID: F.when(c("segment") != "MACHINERY", c(ID)),
+        }
+    )
+    upload.write.option("header", True).csv(path)
+    return score_batch(spark, path, SPEC, ACCOUNT_SCORECARD, THRESHOLD, created_at=RUN_AT, **options)
+
+
+def s3_batch_ranked(spark, sf):
+    return _batch(spark, sf).ranked
+
+
+def s3_batch_rejected(spark, sf):
+    return _batch(spark, sf).rejected.select("row", ID, F.inline("violations"))
+
+
+def a7_batch_summary_of_file(spark, sf):
+    return _batch(spark, sf).summary
+
+
+def s9_shared_log(spark, sf):
+    """A batch, a stream over the same log, and another batch: every row, by source."""
+    path = new_path(spark, "shared-log")
+    log.append(_log(spark, sf, "batch"), path)
+    _streamed_log(spark, sf, path)
+    log.append(_log(spark, sf, "again"), path)
+    return log.read_log(spark, path).select("source", "id", "employee_ref", "probability", "will_leave")
+
+
+def m11_rows_without_own_ids(spark, sf):
+    """Explanations where accounts share an id or have none: one per row, told apart by spend."""
+    c = F.col
+    shared = panel(spark, sf).withColumn(
+        ID, F.when(c("segment") == "BUILDING", F.lit(1)).when(c("segment") != "MACHINERY", c(ID)).cast("bigint")
+    )
+    found = E.explained(shared, SPEC, ACCOUNT_SCORECARD, {}, THRESHOLD)
+    return found.groupBy(ID).agg(F.count("*").alias("n"), F.count_if("will_leave").alias("flagged"))
 
 
 def s5_stored_breakdowns(spark, sf):
@@ -412,8 +472,8 @@ def s9_stored_log(spark, sf):
     return _log_columns(log.read_log(spark, path))
 
 
-def _streamed_log(spark, sf) -> str:
-    source, sink = new_path(spark, "arrivals"), new_path(spark, "stream-log")
+def _streamed_log(spark, sf, path: str | None = None) -> str:
+    source, sink = new_path(spark, "arrivals"), path or new_path(spark, "stream-log")
     panel(spark, sf).write.parquet(source)
     schema = spark.read.parquet(source).schema
     entities = ST.read_entities(spark, source, schema, files_per_batch=4)
@@ -495,9 +555,9 @@ def queries() -> dict[str, Query]:
         "t3_recent_log": t3_recent_log,
         "a9_confusion": lambda s, d: C.confusion(labelled(s, d), "label", "probability", THRESHOLD),
         "a10_a11_metrics": lambda s, d: C.score_block(
-            labelled(s, d), "label", "probability", THRESHOLD
+            labelled(s, d), "label", "probability", THRESHOLD, curve(s, d)
         ),
-        "w1_cumulative_counts": curve,
+        "w1_cumulative_counts": lambda s, d: curve(s, d).drop("block"),
         "w2_roc_points": _points(C.roc_points),
         "w3_pr_points": _points(C.pr_points),
         "w4_thinned_roc": _thinned(C.roc_points, "roc"),
@@ -524,6 +584,11 @@ def queries() -> dict[str, Query]:
         "s6_metric_tables": s6_metric_tables,
         "s7_reloaded_model": s7_reloaded_model,
         "s8_exported_ranking": s8_exported_ranking,
+        "s3_batch_ranked": s3_batch_ranked,
+        "s3_batch_rejected": s3_batch_rejected,
+        "a7_batch_summary_of_file": a7_batch_summary_of_file,
+        "s9_shared_log": s9_shared_log,
+        "m11_rows_without_own_ids": m11_rows_without_own_ids,
         "s9_stored_log": s9_stored_log,
         "r1_streamed_log": r1_streamed_log,
         "r2_streamed_summary": r2_streamed_summary,

@@ -1,8 +1,9 @@
 """Evaluation of scores against outcomes: counts, curves, thresholds, metrics.
 
-Scores are grouped at a fixed resolution (6 decimals by default), so the largest
-table shrinks to at most a million rows before anything is ordered, and scores that
-differ only in the last bits of ``exp`` stay together.
+Scores are compared exactly. Outcomes are first counted per distinct score. The counts are
+then laid out once in ranges of scores (:func:`cumulative_counts`, a stage that writes), so
+that running totals need one number per range and an order inside each range only: dense
+scores get more ranges, and no window grows beyond the rows of one task.
 """
 
 from __future__ import annotations
@@ -13,72 +14,65 @@ from pyspark.sql import functions as F
 
 from staylight.workspace import written
 
-DIGITS = 6
 #: The range a tuned threshold may take, and the one without scores.
 THRESHOLD_RANGE = (0.15, 0.85)
 DEFAULT_THRESHOLD = 0.5
 CURVE_LIMIT = 60
 
 
-def score_counts(
-    df: DataFrame, label: str, score: str, keys: tuple[str, ...] = (), digits: int = DIGITS
-) -> DataFrame:
-    """``keys, code, pos, neg``: outcomes per distinct score (``code`` is the score in
-    units of ``10 ** -digits``)."""
-    code = F.round(F.col(score) * 10**digits, 0).cast("bigint").alias("code")
+def score_counts(df: DataFrame, label: str, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, threshold, pos, neg``: outcomes per distinct score."""
     return (
-        df.select(*keys, code, F.col(label).cast("bigint").alias("_y"))
-        .groupBy(*keys, "code")
+        df.select(*keys, F.col(score).cast("double").alias("threshold"), F.col(label).cast("bigint").alias("_y"))
+        .groupBy(*keys, "threshold")
         .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
     )
 
 
-def _with_totals_above(df: DataFrame, keys, code: str, sums, digits: int) -> DataFrame:
-    """Add ``above_<s>``, the total of ``s`` over all larger codes, and ``all_<s>``.
+def _with_totals_above(df: DataFrame, keys, sums) -> DataFrame:
+    """Add ``above_<s>``, the total of ``s`` over all larger scores, and ``all_<s>``.
 
-    Codes are summed in blocks of a thousand, the blocks in blocks of a thousand and
-    so on, so that no window ever holds more than about a thousand rows.
+    ``block`` numbers ranges of rising scores. Totals per block (as few as there were tasks)
+    are summed over higher blocks, rows over the higher ones of their own block.
     """
-    if digits <= 3:
-        above = W.partitionBy(*keys).orderBy(F.desc(code)).rowsBetween(W.unboundedPreceding, -1)
-        whole = W.partitionBy(*keys)
-        return df.withColumns(
-            {f"above_{s}": F.coalesce(F.sum(s).over(above), F.lit(0)) for s in sums}
-            | {f"all_{s}": F.sum(s).over(whole) for s in sums}
-        )
-    block = f"{code}_block"
-    df = df.withColumn(block, F.expr(f"{code} div 1000"))
-    totals = df.groupBy(*keys, block).agg(*(F.sum(s).alias(s) for s in sums))
-    totals = _with_totals_above(totals, keys, block, sums, digits - 3).drop(*sums)
-    above = W.partitionBy(*keys, block).orderBy(F.desc(code)).rowsBetween(W.unboundedPreceding, -1)
-    inside = df.withColumns(
-        {f"_in_{s}": F.coalesce(F.sum(s).over(above), F.lit(0)) for s in sums}
-    )
-    joined = inside.join(totals, [*keys, block])
-    return joined.withColumns(
+    higher = W.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
+    totals = df.groupBy(*keys, "block").agg(*(F.sum(s).alias(s) for s in sums))
+    totals = totals.select(
+        *keys, "block",
+        *(F.coalesce(F.sum(s).over(higher), F.lit(0)).alias(f"above_{s}") for s in sums),
+        *(F.sum(s).over(whole).alias(f"all_{s}") for s in sums),
+    )
+    above = W.partitionBy(*keys, "block").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, -1)
+    inside = df.withColumns({f"_in_{s}": F.coalesce(F.sum(s).over(above), F.lit(0)) for s in sums})
+    return inside.join(totals, [*keys, "block"]).withColumns(
         {f"above_{s}": F.col(f"above_{s}") + F.col(f"_in_{s}") for s in sums}
-    ).drop(block, *(f"_in_{s}" for s in sums))
+    ).drop(*(f"_in_{s}" for s in sums))
 
 
 def cumulative_counts(
-    df: DataFrame, label: str, score: str, keys: tuple[str, ...] = (), digits: int = DIGITS
+    df: DataFrame, label: str, score: str, keys: tuple[str, ...] = (), blocks: int | None = None
 ) -> DataFrame:
     """True and false positives when everything at or above each score is flagged.
 
     Per distinct score: ``position`` (1 = highest), ``threshold``, ``pos``, ``neg``,
-    ``tp``, ``fp`` and the totals ``positives``, ``negatives``, ``scores_n``.
+    ``tp``, ``fp``, the totals ``positives``, ``negatives``, ``scores_n``, and the ``block`` it lies in.
 
-    The counts are written to the shared folder: they are read several times below, and
-    whatever produced the scores should run once.
+    A stage: calling it runs the job that produces the scores and writes their counts to
+    the shared folder. They are read several times below, and a block is only a lasting
+    range of scores once it is written. ``blocks`` sets their number, which changes no figure.
     """
-    counts = written(score_counts(df, label, score, keys, digits), "score-counts")
-    counts = counts.withColumn("one", F.lit(1).cast("bigint"))
-    summed = _with_totals_above(counts, list(keys), "code", ["pos", "neg", "one"], digits)
+    counts = score_counts(df, label, score, keys)
+    order = [*keys, "threshold"]
+    ranged = counts.repartitionByRange(blocks, *order) if blocks else counts.repartitionByRange(*order)
+    placed = written(ranged.withColumn("block", F.spark_partition_id()), "score-counts")
+    counts = placed.withColumn("one", F.lit(1).cast("bigint"))
+    summed = _with_totals_above(counts, list(keys), ["pos", "neg", "one"])
     return summed.select(
         *keys,
         (F.col("above_one") + 1).alias("position"),
-        (F.col("code") / 10**digits).alias("threshold"),
-        "code",
+        "threshold",
+        "block",
         "pos",
         "neg",
         (F.col("above_pos") + F.col("pos")).alias("tp"),
@@ -116,7 +110,7 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     f1 = f1_of(F.col("tp"), F.col("fp"), F.col("positives") - F.col("tp"))
     low, high = THRESHOLD_RANGE
     best = curve.agg(
-        F.max_by("threshold", F.struct(f1, -F.col("code"))).alias("raw_threshold"),
+        F.max_by("threshold", F.struct(f1, -F.col("threshold"))).alias("raw_threshold"),
         F.max(f1).alias("best_f1"),
     )
     inside = F.least(F.greatest("raw_threshold", F.lit(low)), F.lit(high))
@@ -126,7 +120,7 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     )
 
 
-def roc_points(curve: DataFrame, digits: int = DIGITS) -> DataFrame:
+def roc_points(curve: DataFrame) -> DataFrame:
     """``point, points_n, x, y``: the ROC curve from (0, 0), without the points that lie
     on the line between their neighbours.
 
@@ -142,10 +136,10 @@ def roc_points(curve: DataFrame, digits: int = DIGITS) -> DataFrame:
     kept = (
         curve.join(following, "position", "left")
         .filter((F.col("position") == 1) | F.col("_next_pos").isNull() | bend)
-        .select("position", "code", "tp", "fp", "positives", "negatives")
+        .select("position", "threshold", "block", "tp", "fp", "positives", "negatives")
         .withColumn("one", F.lit(1).cast("bigint"))
     )
-    numbered = _with_totals_above(kept, [], "code", ["one"], digits)
+    numbered = _with_totals_above(kept, [], ["one"])
     x = _over(F.col("fp"), F.col("negatives"))
     y = _over(F.col("tp"), F.col("positives"))
     point = F.struct((F.col("above_one") + 1).alias("point"), x.alias("x"), y.alias("y"))

@@ -1,8 +1,10 @@
 """Why a score is what it is, and what would lower it.
 
-Every entity becomes a handful of what-if rows (at most one per field and better
+Every row becomes a handful of what-if rows (at most one per field and better
 option) that run through the same features and the same scorer. Rows are spread by
-id *before* they multiply, so the regrouping afterwards needs no second shuffle.
+their content *before* they multiply, so the regrouping afterwards needs no second
+shuffle; each then gets a number of its own, so rows that share an id, or have none, are
+explained one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ TOP_DRIVERS = 6
 TOP_ACTIONS = 4
 MIN_REDUCTION = 0.01
 
+#: What tells rows apart inside an explanation: where a row was sent, and its number there.
+ROW = ("_spread", "_row")
+
 KINDS = ("base", "driver", "action", "pay")
 _OPTION_TYPE = (
     "array<struct<no:int,kind:string,field:string,text:string,number:double,display:string,rung:int>>"
@@ -83,11 +88,13 @@ def variants(
     rungs = [
         D.rank_in(spec.ladders[c], F.col(c)) if c in spec.ladders else nothing for c in number
     ]
-    # A fixed number of partitions: adaptive execution would merge them by their size
-    # now, and each row is about to become up to fifty.
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = df.select(*columns).repartition(partitions, F.col(spec.entity_id)).select(
+    # Spread by content, which a repeated task finds again, and numbered behind the shuffle: a
+    # row and all its what-ifs stay in one task, whatever its id.
+    spread = df.select(*columns, F.xxhash64(*columns).alias("_spread")).repartition("_spread")
+    own = spread.select(
         *columns,
+        "_spread",
+        F.monotonically_increasing_id().alias("_row"),
         F.array(*texts).alias("_text"),
         F.array(*numbers).cast("array<double>").alias("_number"),
         F.array(*(c.cast("string") for c in shown)).alias("_shown"),
@@ -118,6 +125,7 @@ def variants(
     ]
     return exploded.filter(kept).select(
         spec.entity_id,
+        *ROW,
         *carry,
         "kind",
         "field",
@@ -149,13 +157,13 @@ def _shortlist(what_ifs: DataFrame, spec: PanelSpec, *carry: str) -> DataFrame:
     """
     key, income = spec.entity_id, F.col(spec.income).cast("double")
     narrow = what_ifs.select(
-        key, "kind", "field", "value", "display", "step", "delta", "probability",
+        key, *ROW, "kind", "field", "value", "display", "step", "delta", "probability",
         income.alias("income"), *carry,
         F.when(F.col("kind") == "pay", "action").otherwise(F.col("kind")).alias("list"),
         F.bround("delta", 4).alias("effect"),
     )
-    per_field = W.partitionBy(key, "list", "field").orderBy(F.desc("delta"), "step")
-    best = W.partitionBy(key, "list").orderBy(F.desc(F.abs("effect")), "field")
+    per_field = W.partitionBy(*ROW, "list", "field").orderBy(F.desc("delta"), "step")
+    best = W.partitionBy(*ROW, "list").orderBy(F.desc(F.abs("effect")), "field")
     length = (
         F.when(F.col("list") == "driver", TOP_DRIVERS)
         .when(F.col("list") == "action", TOP_ACTIONS)
@@ -219,7 +227,7 @@ def actions(df: DataFrame, spec: PanelSpec, scorer: Scorer) -> DataFrame:
 def explained(
     df: DataFrame, spec: PanelSpec, scorer: Scorer, typical: Mapping, threshold: float
 ) -> DataFrame:
-    """One row per entity: score, decision, derived values, ``drivers`` and ``actions``."""
+    """One row per row of ``df``: score, decision, derived values, ``drivers`` and ``actions``."""
     names = spec.derived
     derived = [names.share, names.gap, names.pay, names.band] if names else []
     short = _shortlist(scored_variants(df, spec, scorer, typical), spec, *derived)
@@ -231,7 +239,7 @@ def explained(
 
     own = F.struct("probability", "income", *derived)
     flat = (
-        short.groupBy(spec.entity_id)
+        short.groupBy(*ROW, spec.entity_id)
         .agg(
             F.max(F.when(part == "base", own)).alias("_own"),
             listed("driver", _driver_fields(spec)).alias("drivers"),

@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from staylight.operators.clean import clean, contract_columns, require_columns
+from staylight.operators.clean import (
+    clean,
+    contract_columns,
+    require_columns,
+    split_valid,
+    trim_strings,
+    with_row_reference,
+)
 from staylight.operators.scoring import Scorer, ranked_batch, score
 from staylight.spec import PanelSpec
+from staylight.workspace import written
+
+
+def delimited_options(sep: str = ",", multiline: bool = False) -> dict:
+    """How delimited text is read, in batches and in streams alike."""
+    return {"header": True, "sep": sep, "multiLine": multiline, "escape": '"', "enforceSchema": False}
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
     """Every column as text, so that ``None`` and ``NA`` stay values and only an empty
-    cell is missing. A path that does not exist is an error.
+    cell is missing. A path that does not exist is an error, and so is, once it is read, a
+    file whose header differs from the others': its cells would land in wrong columns.
 
     ``multiline`` allows line breaks inside quotes, at the price that a file can no
     longer be split between tasks.
     """
-    return (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .csv(path)
-    )
+    reader = spark.read.options(**delimited_options(sep, multiline))
+    return reader.schema(reader.csv(path).schema).csv(path)
 
 
 def file_order() -> Column:
@@ -61,19 +70,45 @@ def load_clean(
     return clean(raw.withColumn("_file_order", file_order()), spec, "_file_order")
 
 
+def with_row_numbers(df: DataFrame, name: str = "row") -> DataFrame:
+    """Number the rows of a file-backed frame from 1, files by name and rows as they stand.
+
+    A stage: the rows are written once, because a running id is only lasting then. A block of
+    a file is read by one task in order, so one offset per block is all that is summed up.
+    """
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    rows = written(df.select("*", *(c.alias(k) for k, c in place.items()), F.monotonically_increasing_id().alias("_id")), "numbered")
+    earlier = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_size"))
+    offsets = blocks.select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
+    )
+    number = (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("bigint")
+    return rows.join(offsets, ["_file", "_block"]).select(*df.columns, number.alias(name))
+
+
 def read_scoring_input(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
-    """A delimited file whose columns include the contract; anything else is ignored."""
-    return contract_columns(require_columns(read_delimited(spark, path), spec), spec)
+    """A delimited file whose columns include the contract; anything else is ignored. ``row`` is the
+    row's number in the input; a row without an id is called ``row-<n>``."""
+    rows = with_row_numbers(contract_columns(require_columns(read_delimited(spark, path), spec), spec))
+    return with_row_reference(trim_strings(rows), spec, F.col("row"))
 
 
-def score_file(spark: SparkSession, path: str, spec: PanelSpec, scorer: Scorer) -> DataFrame:
-    """Read, check the contract, clean and score a delimited file."""
-    return score(clean(read_scoring_input(spark, path, spec), spec), spec, scorer)
+def score_file(
+    spark: SparkSession, path: str, spec: PanelSpec, scorer: Scorer
+) -> tuple[DataFrame, DataFrame]:
+    """``(scored, rejected)`` rows of a delimited file: contract, validation, cleaning, one scoring
+    pass that is stored. Rejected rows keep their cells and list their ``violations``."""
+    valid, rejected = split_valid(read_scoring_input(spark, path, spec), spec)
+    return written(score(clean(valid, spec), spec, scorer), "scored-file"), rejected
 
 
 def export_ranked(scored: DataFrame, spec: PanelSpec, threshold: float, path: str) -> None:
-    """The ranked batch as delimited text: nine columns, highest risk first."""
-    ranked = ranked_batch(scored, spec, threshold, F.lit(0)).drop("row")
+    """The ranked batch as delimited text: nine columns, highest risk first. Rows without an id
+    column are called by their number."""
+    row = F.col("row") if "row" in scored.columns else F.monotonically_increasing_id() + 1
+    named = scored if spec.entity_id in scored.columns else with_row_reference(scored, spec, row)
+    ranked = ranked_batch(named, spec, threshold, F.lit(0)).drop("row")
     ranked.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -85,16 +120,16 @@ def modified_at(spark: SparkSession, path: str) -> DataFrame:
 
 def outputs_are_stale(spark: SparkSession, input_path: str, *output_paths: str) -> bool:
     """True when an output is missing or older than the newest input file."""
-    written = []
+    made = []
     for path in output_paths:
         try:
-            written.append(modified_at(spark, path).first()[0])
+            made.append(modified_at(spark, path).first()[0])
         except AnalysisException:
             return True
-    if any(w is None for w in written):
+    if any(w is None for w in made):
         return True
     try:
         newest = modified_at(spark, input_path).first()[0]
     except AnalysisException:
         return False
-    return newest is not None and any(w < newest for w in written)
+    return newest is not None and any(w < newest for w in made)

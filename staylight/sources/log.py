@@ -1,8 +1,14 @@
-"""The scoring log: an append-only dataset with one folder per day."""
+"""The scoring log: an append-only dataset with one folder per day and run.
+
+Batches and streams share it: both append whole runs. A run has a name, and appending a run
+again replaces it, so a stream that repeats a batch after a failure leaves no double rows.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +19,7 @@ from staylight.spec import PanelSpec
 LOG_TYPE = (
     "id bigint, created_at timestamp, source string, employee_ref string, probability double, "
     "risk_band string, will_leave int, salary double, years_here int, job_role string, "
-    "payload string, score_date date"
+    "payload string, score_date date, run string"
 )
 #: Length of a reference, and the bounds of a "latest rows" request.
 REFERENCE_LENGTH = 64
@@ -49,9 +55,19 @@ def log_rows(
     )
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """One job per batch: its files appear together when it commits, or not at all."""
-    rows.write.mode("append").partitionBy("score_date").parquet(path)
+def append(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Append one run: its files appear together when the job commits, or not at all.
+
+    Without a name the run gets one that sorts by the time of the call, so that later runs
+    of one second stay newer."""
+    name = run or f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    (
+        rows.withColumn("run", F.lit(name))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("score_date", "run")
+        .parquet(path)
+    )
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -70,35 +86,44 @@ def summary(log: DataFrame) -> DataFrame:
 
 
 def recent(log: DataFrame, limit: int = 25) -> DataFrame:
-    """The newest rows, newest first; ``limit`` is held within 1..200."""
+    """The newest rows, newest first; ``limit`` is held within 1..200. Rows of one second go by
+    run, later runs first, and by their number in it."""
     low, high = RECENT_RANGE
-    newest = log.orderBy(F.desc("created_at"), F.desc("id")).limit(max(low, min(limit, high)))
-    return newest.drop("payload", "score_date")
+    newest = log.orderBy(F.desc("created_at"), F.desc("run"), F.desc("id")).limit(max(low, min(limit, high)))
+    return newest.drop("payload", "score_date", "run")
+
+
+def _days(log: DataFrame) -> list[str]:
+    """The days of a stored log, newest first, from the names of its folders alone."""
+    found = (re.search(r"score_date=(\d{4}-\d\d-\d\d)", name) for name in log.inputFiles())
+    return sorted({m[1] for m in found if m}, reverse=True)
 
 
 def recent_from(spark: SparkSession, path: str, limit: int = 25) -> DataFrame:
-    """:func:`recent` on a stored log, reading only the last days that hold enough rows.
+    """:func:`recent` on a stored log, opening only the last days that hold enough rows.
 
-    Row counts per day come from file footers; one number per day reaches the driver.
+    Days come from the folder listing that Spark holds anyway; rows are counted in the
+    newest one, two, four and so on days until they are enough.
     """
     low, high = RECENT_RANGE
     wanted, log = max(low, min(limit, high)), read_log(spark, path)
-    days = log.groupBy("score_date").count().orderBy(F.desc("score_date"))
-    # The newest `wanted` days always suffice: a stored day has at least one row.
-    counted, first_day = 0, None
-    for row in days.limit(wanted).collect():
-        counted, first_day = counted + row["count"], row["score_date"]
-        if counted >= wanted:
-            break
-    if first_day is None:
-        return recent(log, wanted)
-    return recent(log.filter(F.col("score_date") >= F.lit(first_day)), wanted)
+    days, span = _days(log), 1
+    while days:
+        last = log.filter(F.col("score_date") >= F.lit(days[min(span, len(days)) - 1]).cast("date"))
+        if span >= len(days) or last.count() >= wanted:
+            return recent(last, wanted)
+        span *= 2
+    return recent(log, wanted)
 
 
 def clear(spark: SparkSession, path: str) -> int:
-    """Empty the log; returns how many rows it held."""
+    """Empty the log; returns how many rows it held.
+
+    A stream keeps its own checkpoint: after a restart it goes on with new arrivals and does
+    not bring cleared rows back."""
     removed = read_log(spark, path).count()
     empty = spark.createDataFrame([], LOG_TYPE)
     # Not partitioned: under dynamic overwrite an empty partitioned write removes nothing.
-    empty.drop("score_date").write.mode("overwrite").parquet(path)
+    bare = empty.drop("score_date", "run").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    bare.parquet(path)
     return removed

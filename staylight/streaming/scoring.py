@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from staylight.operators.clean import apply_defaults, coerce_numerics, split_valid, trim_strings
 from staylight.operators.scoring import Scorer, score
-from staylight.sources.log import log_rows, summary
+from staylight.sources.files import delimited_options
+from staylight.sources.log import append, log_rows, summary
 from staylight.spec import PanelSpec
 
 
@@ -17,10 +18,12 @@ def read_entities(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """New files under ``path`` as a stream of rows."""
+    """New files under ``path`` as a stream of rows. Delimited files are read as
+    :func:`staylight.sources.files.read_delimited` reads them, and refused if their header differs from
+    ``schema``."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**delimited_options())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)
@@ -38,12 +41,26 @@ def scored_stream(
     return log_rows(scored, spec, threshold, "stream", created_at, order), rejected
 
 
-def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to the log; takes what has arrived and ends. Restarting with the same
-    checkpoint continues where it stopped, without repeating rows."""
+def append_stream(rows: DataFrame, path: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Append to the log that batches use too; takes what has arrived and ends.
+
+    Each micro-batch is one run of the log, named after the stream and its number. A restart
+    with the same checkpoint continues where it stopped; a micro-batch that runs again
+    replaces itself. Streams that share a log need different names.
+    """
+    return (
+        rows.writeStream.foreachBatch(lambda batch, number: append(batch, path, f"{name}-{number:012d}"))
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def append_rejected(rejected: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows that validation turned away, with their violations, to a dataset of their own."""
     return (
-        rows.writeStream.format("parquet")
-        .partitionBy("score_date")
+        rejected.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

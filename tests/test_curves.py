@@ -39,9 +39,9 @@ def test_cumulative_counts(case):
     assert [r.tp for r in rows] == tp.tolist() and [r.fp for r in rows] == fp.tolist()
 
 
-def test_three_levels_of_blocks_give_the_same(spark, case):
+def test_any_number_of_blocks_gives_the_same(spark, case):
     label, score, df, curve = case
-    deep = C.cumulative_counts(df, "label", "score", digits=9)
+    deep = C.cumulative_counts(df, "label", "score", blocks=37)
     key = ["position", "tp", "fp", "positives", "negatives", "scores_n"]
     assert sorted(deep.select(key).collect()) == sorted(curve.select(key).collect())
 
@@ -80,6 +80,29 @@ def test_best_threshold(case):
     assert got.threshold == pytest.approx(round(float(np.clip(best, 0.15, 0.85)), 3))
 
 
+def test_scores_that_differ_in_the_tenth_decimal(spark):
+    rng = np.random.default_rng(4)
+    score = 0.5 + 1e-10 * rng.permutation(2000)
+    label = (rng.random(2000) < 0.3 + 0.2 * (score > 0.5 + 1e-7)).astype(int)
+    df = spark.createDataFrame(list(zip(map(int, label), map(float, score))), "label int, score double")
+    curve = C.cumulative_counts(df, "label", "score")
+    cuts, tp, fp = brute(label, score)
+    rows = curve.orderBy("position").collect()
+    assert [r.threshold for r in rows] == cuts.tolist()
+    assert [r.tp for r in rows] == tp.tolist() and [r.fp for r in rows] == fp.tolist()
+    pos, neg = score[label == 1], score[label == 0]
+    auc = (pos[:, None] > neg).sum() / (len(pos) * len(neg))
+    assert C.ranking_metrics(curve).first().roc_auc == pytest.approx(auc)
+
+
+def test_the_tuned_threshold_flags_what_it_was_tuned_on(spark):
+    df = spark.createDataFrame([(1, 0.4999996), (0, 0.4999994), (1, 0.7), (0, 0.1)], "label int, score double")
+    best = C.best_threshold(C.cumulative_counts(df, "label", "score")).first()
+    m = C.confusion(df, "label", "score", best.raw_threshold).first()
+    f1 = 2 * m.true_positive / (2 * m.true_positive + m.false_positive + m.false_negative)
+    assert best.raw_threshold == 0.4999996 and best.best_f1 == f1 == 1.0
+
+
 def test_threshold_without_scores(spark):
     none = spark.createDataFrame([], "label int, score double")
     assert C.best_threshold(C.cumulative_counts(none, "label", "score")).first().threshold == 0.5

@@ -183,3 +183,16 @@ def test_typical_table(hr, typical):
     rows = {r.field: r for r in typical_table(engineer(hr, HR), HR).collect()}
     assert list(typical) == list(HR.model_columns)
     assert rows["Age"].number == typical["Age"] and rows["OverTime"].text == typical["OverTime"]
+
+
+def test_rows_with_equal_or_missing_ids_are_explained_one_by_one(spark, hr):
+    from staylight.scorecards import HR_SCORECARD
+
+    settled, risky = person(1), person(1, **AT_RISK)
+    rows = [settled, risky, {**settled, "EmployeeID": None}, {**risky, "EmployeeID": None}, settled]
+    schema = hr.schema
+    df = spark.createDataFrame([[float(r[f.name]) if f.dataType.simpleString() == "double" else r[f.name] for f in schema] for r in rows], schema)
+    full = E.explained(df, HR, HR_SCORECARD, {}, 0.5).collect()
+    assert len(full) == 5
+    by = sorted((str(r.EmployeeID), r.will_leave) for r in full)
+    assert by == sorted([("EMP-0001", False), ("EMP-0001", False), ("EMP-0001", True), ("None", False), ("None", True)])

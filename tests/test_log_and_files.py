@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from staylight.bindings import HR
 from staylight.operators import scoring as S
 from staylight.operators.clean import contract_columns
+from staylight.plans.batch import score_batch
 from staylight.scorecards import HR_SCORECARD
 from staylight.sources import files, log
 from staylight.streaming import scoring as ST
@@ -51,6 +52,91 @@ def test_append_summary_recent_clear(spark, hr, tmp_path):
     assert log.read_log(spark, path).count() == 80
 
 
+def test_a_run_replaces_itself_and_later_runs_are_newer(spark, hr, tmp_path):
+    path = str(tmp_path / "log")
+    log.append(entries(hr.limit(10)), path, "a")
+    log.append(entries(hr.limit(10)), path, "a")
+    log.append(entries(hr.limit(3), source="csv"), path, "b")
+    assert log.read_log(spark, path).count() == 13
+    assert [r.source for r in log.recent_from(spark, path, 5).collect()] == ["csv"] * 3 + ["batch"] * 2
+
+
+def test_batches_and_streams_share_a_log(spark, hr, tmp_path):
+    source, path, state, bad = (str(tmp_path / n) for n in ("in", "log", "state", "bad"))
+    people = contract_columns(hr, HR)
+    people.limit(30).withColumn("Age", F.when(F.col("EmployeeID") == "EMP-0003", 7.0).otherwise(F.col("Age"))).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+
+    def stream():
+        rows, rejected = ST.scored_stream(ST.read_entities(spark, source, schema), HR, HR_SCORECARD, 0.5, F.lit(DAY))
+        ST.append_stream(rows, path, state).awaitTermination()
+        ST.append_rejected(rejected, bad, state + "-bad").awaitTermination()
+
+    log.append(entries(hr), path)
+    stream()
+    log.append(entries(hr), path)
+    stream()
+    assert log.read_log(spark, path).count() == 80 + 29 + 80
+    rejected = spark.read.parquet(bad).collect()
+    assert [(r.EmployeeID, r.violations[0].field) for r in rejected] == [("EMP-0003", "Age")]
+    assert log.clear(spark, path) == 189
+    stream()
+    assert log.read_log(spark, path).count() == 0
+    people.limit(5).write.mode("append").parquet(source)
+    stream()
+    log.append(entries(hr), path)
+    assert log.read_log(spark, path).count() == 85
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,y\none,two\n")
+    (folder / "b.csv").write_text("y,x\none,two\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_delimited(spark, str(folder)).collect()
+
+
+def test_quoted_cells_read_alike_in_batch_and_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('x,y\n"say ""hi"", now",1\n')
+    batch = files.read_delimited(spark, str(folder))
+    stream = ST.read_entities(spark, str(folder), batch.schema, "csv")
+    query = stream.writeStream.format("memory").queryName("quoted").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("quoted").collect() == batch.collect() and batch.first().x == 'say "hi", now'
+
+
+def test_a_batch_from_file_to_report(spark, hr, tmp_path):
+    folder, log_path = tmp_path / "up", str(tmp_path / "log")
+    people = contract_columns(hr, HR).orderBy("EmployeeID").repartitionByRange(3, "EmployeeID")
+    people.withColumns(
+        {
+            "JobLevel": F.when(F.col("EmployeeID") == "EMP-0004", "Overlord").otherwise(F.col("JobLevel")),
+            "EmployeeID": F.when(F.col("EmployeeID") != "EMP-0009", F.col("EmployeeID")),
+        }
+    ).write.option("header", True).csv(str(folder))
+    done = score_batch(spark, str(folder), HR, HR_SCORECARD, 0.5, log_path, str(tmp_path / "out"), DAY)
+    ranked = done.ranked.collect()
+    assert len(ranked) == 79 and [r.probability for r in ranked] == sorted((r.probability for r in ranked), reverse=True)
+    number = {r.EmployeeID: r.row for r in ranked}
+    assert number.pop("row-10") == 10
+    assert all(int(k[4:]) + 1 == n for k, n in number.items())
+    assert [(r.row, r.violations[0].value) for r in done.rejected.collect()] == [(5, "Overlord")]
+    assert done.summary.first()["count"] == 79 == log.read_log(spark, log_path).count()
+    assert files.read_delimited(spark, str(tmp_path / "out")).count() == 79
+
+
+def test_a_file_without_an_id_column(spark, hr, tmp_path):
+    path = str(tmp_path / "bare")
+    contract_columns(hr, HR).drop("EmployeeID").limit(4).coalesce(1).write.option("header", True).csv(path)
+    scored, _ = files.score_file(spark, path, HR, HR_SCORECARD)
+    assert {r.EmployeeID for r in scored.collect()} == {f"row-{n}" for n in range(1, 5)}
+    files.export_ranked(scored.drop("EmployeeID"), HR, 0.5, str(tmp_path / "out"))
+    assert files.read_delimited(spark, str(tmp_path / "out")).count() == 4
+
+
 def test_recent_reads_only_the_last_days(spark, hr, tmp_path):
     path = str(tmp_path / "log")
     for day in range(3):
@@ -63,7 +149,7 @@ def test_file_and_table_score_alike(spark, hr, tmp_path):
     """Text ``None`` must not turn into a missing value on the file path."""
     path = str(tmp_path / "team")
     hr.write.option("header", True).csv(path)
-    from_file = {r.EmployeeID: r.probability for r in files.score_file(spark, path, HR, HR_SCORECARD).collect()}
+    from_file = {r.EmployeeID: r.probability for r in files.score_file(spark, path, HR, HR_SCORECARD)[0].collect()}
     direct = {r.EmployeeID: r.probability for r in S.score(hr, HR, HR_SCORECARD).collect()}
     assert from_file == direct
 
