@@ -63,6 +63,7 @@ def candidates(trees: int = 300, boosting_rounds: int = 120) -> list[Candidate]:
             subsamplingRate=0.9, seed=seed,
         )
 
+    # Keys, names and the texts shown beside them.
     return [
         Candidate(
             "logistic_regression", "Logistic Regression",
@@ -158,13 +159,14 @@ class FittedStages:
 
 
 def fit_stages(
-    encoded: DataFrame, spec: PanelSpec, label: str, candidate: Candidate, seed: int = 42
+    encoded: DataFrame, spec: PanelSpec, label: str, candidate: Candidate, seed: int = 42,
+    totals: tuple[int, float] | None = None,
 ) -> FittedStages:
-    """Fit a candidate on encoded rows; means and class weights come from these rows only."""
-    totals = encoded.agg(
-        F.count("*").alias("rows"), F.sum(F.col(label).cast("double")).alias("yes")
-    ).first()
-    rows, yes = totals["rows"], totals["yes"] or 0.0
+    """Fit a candidate on encoded rows; means and class weights come from these rows only.
+    ``totals``: the number of rows and of positive ones, where the caller has counted them."""
+    if totals is None:
+        totals = encoded.agg(F.count("*"), F.sum(F.col(label).cast("double"))).first()
+    rows, yes = totals[0], totals[1] or 0.0
     if not 0 < yes < rows:
         raise ValueError("training rows need both outcomes")
     scaler, correction = fit_scaler(encoded, rows)

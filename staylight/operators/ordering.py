@@ -44,13 +44,16 @@ def with_positions(
 
 
 def stratified_folds(
-    df: DataFrame, entity: str, label: str, folds: int, repeats: int = 1, seed: int = 0
+    df: DataFrame, entity: str, label: str, folds: int, repeats: int = 1, seed: int = 0,
+    row: str | None = None,
 ) -> DataFrame:
-    """``entity, label, repeat, fold``: each label spread evenly over the folds, in
-    another order for every repeat."""
-    spread = df.select(entity, label, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    """``entity, label, repeat, fold`` (and ``row``): each label spread evenly over the folds, in
+    another order for every repeat. ``row`` names a column that tells rows with equal or
+    missing ids apart."""
+    own = [entity, label] if row is None else [entity, label, row]
+    spread = df.select(*own, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     keyed = spread.withColumn("_key", shuffle_key(F.col(entity), F.col("repeat") + seed))
-    placed = with_positions(keyed, ["repeat", label], "_key", entity)
+    placed = with_positions(keyed, ["repeat", label], "_key", row or entity)
     return placed.select(
-        entity, label, "repeat", ((F.col("position") - 1) % folds).cast("int").alias("fold")
+        *own, "repeat", ((F.col("position") - 1) % folds).cast("int").alias("fold")
     )

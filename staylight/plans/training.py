@@ -70,56 +70,88 @@ class Trained:
         return FittedScorer(self.label, self.model)
 
 
+#: Tells training rows apart, whatever their ids.
+ROW = "_training_row"
+
+
 def training_rows(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """id, label and the model columns of a cleaned panel."""
     return model_frame(with_target(df, spec, LABEL), spec, spec.entity_id, LABEL)
 
 
 def with_folds(frame: DataFrame, spec: PanelSpec, settings: TrainSettings) -> DataFrame:
-    """Add ``fold_0 .. fold_{repeats-1}``, so each fit only filters one cached table."""
+    """Add ``fold_0 .. fold_{repeats-1}``, so each fit only filters one stored table.
+
+    ``frame`` has :data:`ROW`, which tells rows with equal or missing ids apart."""
     placed = stratified_folds(
-        frame, spec.entity_id, LABEL, settings.folds, settings.repeats, settings.seed
+        frame, spec.entity_id, LABEL, settings.folds, settings.repeats, settings.seed, ROW
     )
-    wide = placed.groupBy(spec.entity_id).agg(
+    wide = placed.groupBy(ROW).agg(
         *(
             F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}")
             for r in range(settings.repeats)
         )
     )
-    return frame.join(wide, spec.entity_id)
+    return frame.join(wide, ROW)
+
+
+def numbered(frame: DataFrame) -> DataFrame:
+    """``frame`` with :data:`ROW`. A stage: a running id is only lasting once it is written."""
+    return written(frame.withColumn(ROW, F.monotonically_increasing_id()), "training-rows")
+
+
+def _training_totals(encoded: DataFrame, settings: TrainSettings) -> dict[tuple[int, int], tuple[int, float]]:
+    """Rows and positive rows that each (repeat, fold) trains on, from one aggregate: all rows
+    less the fold's own. As many figures as folds reach the driver."""
+    folds = F.array(*(F.col(f"fold_{r}") for r in range(settings.repeats)))
+    held = encoded.select(LABEL, F.posexplode(folds).alias("repeat", "fold")).groupBy("repeat", "fold")
+    found = {
+        (r["repeat"], r["fold"]): (r["n"], r["yes"])
+        for r in held.agg(F.count("*").alias("n"), F.sum(F.col(LABEL).cast("double")).alias("yes")).collect()
+    }
+    rows = {r: [sum(v[k] for (a, _), v in found.items() if a == r) for k in (0, 1)] for r in range(settings.repeats)}
+    return {(r, f): (rows[r][0] - n, rows[r][1] - yes) for (r, f), (n, yes) in found.items()}
 
 
 def out_of_fold(
-    encoded: DataFrame, spec: PanelSpec, candidate: Candidate, settings: TrainSettings
-) -> DataFrame:
-    """``id, label, probability``: the mean held-out score of every row over the repeats.
+    encoded: DataFrame, spec: PanelSpec, competitors: list[Candidate], settings: TrainSettings
+) -> dict[str, DataFrame]:
+    """Per candidate ``id, label, probability``: the mean held-out score of every row over the repeats.
 
-    The held-out scores of each fit are written to their own folder, so a lost executor
+    All fits of all candidates share one pool, so slow ones overlap with quick ones. The
+    held-out scores of each fit are written to their own folder, so a lost executor
     or a repeated task never refits a model.
     """
-    path = new_path(encoded.sparkSession, f"oof-{candidate.key}")
+    spark, totals = encoded.sparkSession, _training_totals(encoded, settings)
+    paths = {c.key: new_path(spark, f"oof-{c.key}") for c in competitors}
 
-    def one(job: tuple[int, int]) -> None:
-        repeat, fold = job
+    def one(job: tuple[Candidate, int, int]) -> None:
+        candidate, repeat, fold = job
         mine = F.col(f"fold_{repeat}")
         fitted = fit_stages(
-            encoded.filter(mine != fold), spec, LABEL, candidate, settings.seed + repeat
+            encoded.filter(mine != fold), spec, LABEL, candidate, settings.seed + repeat,
+            totals.get((repeat, fold)),
         )
         # Only the pipeline stages are needed here; the rows are already encoded.
         scorer = FittedScorer(candidate.label, fitted)
         held = scorer.score(encoded.filter(mine == fold))
-        held.select(spec.entity_id, LABEL, "probability").write.parquet(
-            f"{path}/repeat={repeat}/fold={fold}"
+        held.select(ROW, spec.entity_id, LABEL, "probability").write.parquet(
+            f"{paths[candidate.key]}/repeat={repeat}/fold={fold}"
         )
 
-    jobs = [(r, k) for r in range(settings.repeats) for k in range(settings.folds)]
+    # The slowest kinds of fit first.
+    jobs = [(c, r, k) for c in reversed(competitors) for r in range(settings.repeats) for k in range(settings.folds)]
     with ThreadPoolExecutor(settings.parallel_fits) as pool:
         list(pool.map(one, jobs))
-    scores = encoded.sparkSession.read.parquet(path)
-    means = scores.groupBy(spec.entity_id).agg(
-        F.max(LABEL).alias(LABEL), F.avg("probability").alias("probability")
-    )
-    return written(means, "out-of-fold")
+
+    def means(path: str) -> DataFrame:
+        grouped = spark.read.parquet(path).groupBy(ROW).agg(
+            F.max(spec.entity_id).alias(spec.entity_id), F.max(LABEL).alias(LABEL),
+            F.avg("probability").alias("probability"),
+        )
+        return written(grouped.drop(ROW), "out-of-fold")
+
+    return {key: means(path) for key, path in paths.items()}
 
 
 def evaluate(scores: DataFrame, candidate: Candidate) -> dict:
@@ -178,13 +210,13 @@ def train(
     spark = df.sparkSession
     competitors = competitors or candidates(settings.trees, settings.boosting_rounds)
 
-    frame = training_rows(df, spec)
+    frame = numbered(training_rows(df, spec))
     encoder = fit_encoder(frame, spec)
     # Read by every fit, so written once: the fits' many small jobs then carry a plan that
     # only reads a table, and a lost executor costs no more than reading it again.
     encoded = written(with_folds(encoder.transform(frame), spec, settings), "encoded")
 
-    scores = {c.key: out_of_fold(encoded, spec, c, settings) for c in competitors}
+    scores = out_of_fold(encoded, spec, competitors, settings)
     board = [evaluate(scores[c.key], c) for c in competitors]
     best = max(board, key=lambda row: row["roc_auc"] or 0.0)  # the first one on ties
     winner = next(c for c in competitors if c.key == best["key"])
@@ -212,6 +244,7 @@ def train(
                 "training_seconds": seconds,
                 "rows_total": totals["rows"],
                 "attrition_rate": round(totals["rate"], 4),
+                # The wording of the strategy and of the reason below.
                 "strategy": f"{settings.repeats}x repeated {settings.folds}-fold "
                 "stratified cross-validation",
                 "models_fitted": fits + 1 + (settings.importance_rows == "held_out"),

@@ -11,9 +11,9 @@ from staylight.operators.clean import (
     clean,
     contract_columns,
     require_columns,
-    split_valid,
     trim_strings,
     with_row_reference,
+    with_violations,
 )
 from staylight.operators.scoring import Scorer, ranked_batch, score
 from staylight.spec import PanelSpec
@@ -98,8 +98,11 @@ def score_file(
     spark: SparkSession, path: str, spec: PanelSpec, scorer: Scorer
 ) -> tuple[DataFrame, DataFrame]:
     """``(scored, rejected)`` rows of a delimited file: contract, validation, cleaning, one scoring
-    pass that is stored. Rejected rows keep their cells and list their ``violations``."""
-    valid, rejected = split_valid(read_scoring_input(spark, path, spec), spec)
+    pass that is stored. Rejected rows keep their cells and list their ``violations``. The checked
+    rows are stored too, so every rule is evaluated once however they are used."""
+    checked = written(with_violations(read_scoring_input(spark, path, spec), spec), "checked-file")
+    valid = checked.filter(F.size("violations") == 0).drop("violations")
+    rejected = checked.filter(F.size("violations") > 0)
     return written(score(clean(valid, spec), spec, scorer), "scored-file"), rejected
 
 

@@ -1,7 +1,6 @@
 """What an analysis needs to know about a table: one frozen description per table.
 
-Every operator takes a :class:`PanelSpec`, so the validator, the features, the
-reports and the model read the same column lists and cannot drift apart.
+Every operator takes a :class:`PanelSpec` and finds its columns, domains and limits there.
 """
 
 from __future__ import annotations

@@ -120,7 +120,7 @@ def test_explained(trio, typical):
     assert row.probability == pytest.approx(p, abs=5.1e-5)
     assert row.percent == pytest.approx(100 * p, abs=0.051)
     assert row.will_leave == (p >= 0.5) and row.model == "HR scorecard"
-    assert row.cost_at_risk == round(35000 * 6 * p)
+    assert row.cost_at_risk == round(AT_RISK["MonthlyIncome"] * 6 * p)
     assert row.engineered.TenureBand == "Under 2 years"
     assert [d.position for d in row.drivers] == [1, 2, 3, 4, 5, 6]
     assert [a.position for a in row.actions] == [1, 2, 3]  # only three gain enough

@@ -8,7 +8,7 @@ from staylight.operators import explain as E
 from staylight.operators import models as M
 from staylight.operators import scoring as S
 from staylight.operators.importance import feature_importance, top_features
-from staylight.plans.training import LABEL, TrainSettings, train, training_rows, with_folds
+from staylight.plans.training import LABEL, TrainSettings, numbered, train, training_rows, with_folds
 from staylight.scorecards import HR_SCORECARD
 from staylight.sources.store import load_model, metric_tables, read_tables, save_model, write_tables
 from tests.conftest import AT_RISK, person
@@ -72,8 +72,11 @@ def test_one_outcome_cannot_be_trained(rows):
 
 def test_every_row_is_held_out_once_per_repeat(rows):
     settings = TrainSettings(folds=4, repeats=2)
-    folds = with_folds(rows, HR, settings)
+    folds = with_folds(numbered(rows), HR, settings)
     assert folds.count() == 80
+    # Equal and missing ids: every row still has a fold of its own.
+    shared = rows.withColumn("EmployeeID", F.when(F.col("EmployeeID") < "EMP-0040", "EMP-1").when(F.col("EmployeeID") < "EMP-0075", F.col("EmployeeID")))
+    assert with_folds(numbered(shared), HR, settings).filter("fold_0 is not null and fold_1 is not null").count() == 80
     assert {r.fold_0 for r in folds.select("fold_0").collect()} == {0, 1, 2, 3}
 
 
