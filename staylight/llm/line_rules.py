@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 #: What a line of running text ends in, and phrases of page furniture.
-LINE_ENDS = r"""[.!?:;\x22'\x29…”»。！？][\x20\x09-\x0D]*$"""
+LINE_ENDS = r"""[.!?:;\x22'\x29…”»。！？][\x20\x09-\x0D]*\z"""
 BOILERPLATE = (
     r"(?i)(cookie policy|use cookies|privacy policy|terms of (use|service)|all rights reserved"
     r"|enable javascript|click here|read more|sign in|log in|subscribe (now|to our)|share (this|on)"

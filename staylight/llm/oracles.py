@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from staylight.llm.license_scan import PHRASES, TEMPLATES, TOKEN
+from staylight.llm.line_rules import BOILERPLATE, LINE_ENDS, WINDOW, LineRules
+
 OP1_WARC = """
 WITH p AS (
     SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -52,5 +55,101 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(map(_text, values)) + "]"
+
+
+def _line_rules() -> str:
+    rules = LineRules()
+    word = r"[^\x20\x09-\x0D]"
+    found = lambda pattern: f"len(regexp_extract_all(line, {_text(pattern)}))"
+    return rf"""
+WITH w AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS words,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines
+    FROM documents
+), grams AS (
+    SELECT doc_id, i, words[i:i + {WINDOW - 1}] AS gram
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)
+), twice AS (
+    SELECT doc_id, i FROM grams JOIN (SELECT doc_id, gram FROM grams GROUP BY ALL HAVING count(*) > 1) USING (doc_id, gram)
+), covered AS (
+    SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS pos FROM twice) GROUP BY doc_id
+), judged AS (
+    SELECT doc_id, line,
+           regexp_matches(line, {_text(LINE_ENDS)})
+           AND {found('[#*$%&|<>{}~^]')} <= length(line) * {rules.symbol_share}::DOUBLE
+           AND {found('[!?]{2,}')} <= {found(word + '+')} * {rules.shout_share}::DOUBLE
+           AND {found('[|»›•·]')} < {rules.separators}
+           AND NOT regexp_matches(line, {_text(BOILERPLATE)}) AS good
+    FROM (SELECT doc_id, unnest(lines) AS line FROM w)
+), kept_lines AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT good) AS n_removed_lines,
+           CAST(coalesce(sum(length(line)) FILTER (WHERE good), 0) AS BIGINT) AS kept_chars,
+           CAST(sum(length(line)) AS BIGINT) AS all_chars
+    FROM judged GROUP BY doc_id
+), figures AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           coalesce(n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+           coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(kept_chars, 0) AS kept_chars,
+           coalesce(all_chars, 0) AS all_chars
+    FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN kept_lines USING (doc_id)
+), verdict AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures
+)
+SELECT * EXCLUDE (all_chars), NOT base_failed AND kept_chars >= all_chars * {rules.keep_share}::DOUBLE AS kept FROM verdict
+"""
+
+
+def _license_scan() -> str:
+    places = []
+    for phrase in PHRASES.values():
+        parts = phrase.split(" ")
+        places.append(
+            f"list_filter(range(0, greatest(0, len(words) - {len(parts) - 1})), "
+            f"lambda i: words[i + 1:i + {len(parts)}] = {_list(parts)})"
+        )
+    labels = " || ".join(f"CASE WHEN len(at{n}) > 0 THEN [{_text(k)}] ELSE [] END" for n, k in enumerate(PHRASES))
+    rows = ", ".join(f"({_text(label)}, {_text(text.lower())})" for label, text in TEMPLATES)
+    return rf"""
+WITH w AS (
+    SELECT doc_id, {_LOWER} AS low, regexp_extract_all({_LOWER}, '{TOKEN}') AS words FROM documents
+), placed AS (
+    SELECT doc_id, words, {", ".join(f"{p} AS at{n}" for n, p in enumerate(places))} FROM w
+), base AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, at0 || at1 || at2 AS starts, {labels} AS named FROM placed
+), template AS (
+    SELECT label, list_distinct(regexp_extract_all(text, '{TOKEN}')) AS want FROM (VALUES {rows}) AS t(label, text)
+), block AS (
+    SELECT doc_id, list_distinct(regexp_extract_all(line, '{TOKEN}')) AS have
+    FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM w)
+), met AS (
+    SELECT doc_id, label, len(list_intersect(have, want)) AS n, len(want) AS size FROM block, template
+), found AS (
+    SELECT doc_id, list(DISTINCT label) AS more, max(n::DOUBLE / size) AS best
+    FROM met WHERE n >= ceil(round(0.8::DOUBLE * size, 9)) GROUP BY doc_id
+)
+SELECT doc_id, n_words, CAST(len(starts) AS BIGINT) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
+       array_to_string(list_sort(list_distinct(named)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(named || coalesce(more, []))), ',') AS labels,
+       coalesce(best, 0.0::DOUBLE) AS score
+FROM base LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_WARC, "op5_near_dup": OP5_NEAR_DUP}
+    return {
+        "op1_warc": OP1_WARC,
+        "op5_near_dup": OP5_NEAR_DUP,
+        "op7_line_rules": _line_rules(),
+        "op10_license_scan": _license_scan(),
+    }

@@ -79,3 +79,11 @@ def test_repeated_rows_nulls_clashes_and_empty_table(make):
     assert scan_licenses(docs.limit(0)).count() == 0
     assert word_order(docs, ["mit", "other", "zzz"]) == ["zzz", "other", "mit"]
     assert "Python" not in scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_equals_sql(spark, sample):
+    from checks.compare import compare
+    from staylight.llm.oracles import oracle_sql
+
+    result = compare(spark, sample[0], op10_license_scan, oracle_sql()["op10_license_scan"])
+    assert result.startswith("ok"), result

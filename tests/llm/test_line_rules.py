@@ -57,3 +57,11 @@ def test_clashing_columns_nulls_and_empty_table(spark, make):
     assert clean_lines(docs.limit(0)).count() == 0
     plan = clean_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_query_equals_sql(spark, sample):
+    from checks.compare import compare
+    from staylight.llm.oracles import oracle_sql
+
+    result = compare(spark, sample[0], op7_line_rules, oracle_sql()["op7_line_rules"])
+    assert result.startswith("ok"), result
