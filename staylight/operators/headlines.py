@@ -19,8 +19,11 @@ def _entry(position: int, title: str, detail: Column, holds: Column) -> Column:
     )
 
 
-def headlines(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """``position, title, detail`` of every claim whose comparison holds.
+def headlines(
+    df: DataFrame, spec: PanelSpec, rates: DataFrame | None = None, totals: DataFrame | None = None
+) -> DataFrame:
+    """``position, title, detail`` of every claim whose comparison holds. ``rates`` and ``totals`` are the
+    breakdowns and KPIs of ``df`` where they are stored already.
 
     The rates are picked out of the breakdown table in one aggregate, next to the
     one-row KPI table; a claim about an absent category does not hold.
@@ -36,12 +39,13 @@ def headlines(df: DataFrame, spec: PanelSpec) -> DataFrame:
         if isinstance(claim, RateClaim):
             picked.append(rate(claim.field, claim.worse).alias(f"worse_{i}"))
             picked.append(rate(claim.field, claim.better).alias(f"better_{i}"))
-    figures = kpis(df, spec).select(F.struct("*")).scalar().alias("kpi")
-    facts = (
-        breakdowns(df, spec, fields).agg(*picked).select("*", figures)
-        if fields
-        else kpis(df, spec).select(F.struct("*").alias("kpi"))
-    )
+    totals = kpis(df, spec) if totals is None else totals
+    figures = totals.select(F.struct("*")).scalar().alias("kpi")
+    if fields:
+        rates = breakdowns(df, spec, fields) if rates is None else rates
+        facts = rates.agg(*picked).select("*", figures)
+    else:
+        facts = totals.select(F.struct("*").alias("kpi"))
 
     entries = []
     for i, claim in enumerate(spec.claims):

@@ -9,16 +9,21 @@ from staylight.operators.breakdowns import breakdowns
 from staylight.operators.clean import target_flag
 from staylight.operators.features import engineer
 from staylight.spec import PanelSpec
+from staylight.workspace import written
 
 
 def quality_checks(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """``check, passed, observed``: nulls, repeated ids, target values and rates."""
+    """``check, passed, observed``: nulls, repeated ids, target values and rates.
+
+    A stage: the panel is derived and written once, and so are its breakdowns; the checks then read
+    narrow columns of what is stored."""
     columns = [spec.entity_id, spec.target, *spec.monitor_only, *spec.contract]
+    df = written(df.select(*dict.fromkeys(columns)), "checked-panel")
     # Two steps instead of a distinct count: repeated ids are combined before the shuffle.
     ids = df.groupBy(spec.entity_id).agg(F.count("*").alias("n"))
     repeated = ids.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar()
     odd = ~F.lower(F.col(spec.target)).isin("yes", "no")
-    rates = breakdowns(engineer(df, spec), spec)
+    rates = written(breakdowns(engineer(df, spec), spec), "checked-rates")
     outside = rates.agg(F.count_if(~F.col("attrition_rate").between(0, 1))).scalar()
     uneven = (
         rates.groupBy("attribute").agg(F.sum("total").alias("total"))

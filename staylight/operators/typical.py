@@ -2,7 +2,8 @@
 
 Both are exact at any size. ``percentile`` would gather all distinct values of a
 column in one task, so medians are found by narrowing: count values in equal-width
-bins, keep the bin that holds the middle, repeat until few rows are left.
+bins, keep the bin that holds the middle, repeat until it holds one value. The method
+is the same at any size.
 """
 
 from __future__ import annotations
@@ -63,11 +64,11 @@ def _narrowed(df: DataFrame, brackets: dict) -> dict:
     return out
 
 
-def medians(df: DataFrame, columns, settle_rows: int = 1_000_000) -> dict[str, float | None]:
+def medians(df: DataFrame, columns) -> dict[str, float | None]:
     """The exact median of every column (the mean of the middle two for even counts).
 
-    ``settle_rows``: a bracket with no more rows than this is finished by ordering its
-    distinct values.
+    A round leaves at most one 512th of a bracket's width, so seven or eight rounds settle any
+    doubles. A bracket as narrow as some neighbouring doubles is finished by counting those.
     """
     numbers = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     stats = numbers.agg(
@@ -87,7 +88,7 @@ def medians(df: DataFrame, columns, settle_rows: int = 1_000_000) -> dict[str, f
                 found[key] = brackets.pop(key)[0]
         wide = {
             k: b for k, b in brackets.items()
-            if b[3] > settle_rows and (b[1] - b[0]) / _BINS > math.ulp(max(abs(b[0]), abs(b[1])))
+            if (b[1] - b[0]) / _BINS > math.ulp(max(abs(b[0]), abs(b[1])))
         }
         if not wide:
             break
