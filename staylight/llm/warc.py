@@ -53,11 +53,13 @@ def with_types(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).select(
         "*", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")
     )
-    shared = (
+    # Written, so that the join gets both sides freshly dealt and can split a hot payload.
+    shared = written(
         rows.filter(F.col("payload_bytes") >= least)
         .groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n"))
         .agg(F.max("page_id").alias("newest"), F.count("*").alias("rows"))
-        .filter("rows > 1 and newest is not null")
+        .filter("rows > 1 and newest is not null"),
+        "shared-payloads",
     )
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     met = rows.join(shared, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("n")), "left")
