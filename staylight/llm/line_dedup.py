@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from staylight.workspace import written
 
-_BREAK = re.compile(r"(?<=[.!?;|\n])(?![.!?;|\n])")
+_LINE = re.compile(r"[^.!?;|\n]*[.!?;|\n]+|[^.!?;|\n]+")
 GRAM, WINDOW = 2, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,12 +39,14 @@ class Runs:
 
 def lines_of(text: str) -> list[str]:
     """Logical lines; joined they are the text again."""
-    return [x for x in _BREAK.split(text) if x]
+    return _LINE.findall(text)
 
 
-def _hashes(lines: list[str]) -> np.ndarray:
-    """Lines compare without case and outer blanks."""
-    return np.fromiter((xxhash.xxh64_intdigest(x.strip().lower().encode()) for x in lines), np.uint64, len(lines))
+def _hashes(text: str) -> np.ndarray:
+    """One hash per line. Lines compare without case and outer blanks; folding the case does not
+    look at neighbouring characters and makes no line ends, so the whole text is folded at once."""
+    folded = lines_of(text.casefold())
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(str.strip, folded)), np.uint64, len(folded))
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -54,9 +56,10 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(lines: list[str], runs: Runs) -> tuple[np.ndarray, ...]:
+def fingerprints(text: str, runs: Runs) -> tuple[np.ndarray, ...]:
     """Place, number of lines, hash, and the hashes of the lines just before and behind (0 at the ends)."""
-    h, n = _hashes(lines), len(lines)
+    lines, h = lines_of(text), _hashes(text)
+    n = len(lines)
     at = np.zeros(0, np.int64)
     grams = np.zeros(0, np.uint64)
     if n >= GRAM:
@@ -85,7 +88,7 @@ def _prints(docs: DataFrame, runs: Runs) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                found = [fingerprints(lines_of(t.as_py()), runs) for t in part.column(1)]
+                found = [fingerprints(t.as_py(), runs) for t in part.column(1)]
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(f[0]) for f in found])
                 columns = [np.concatenate([f[k] for f in found]) for k in range(5)]
                 yield pa.RecordBatch.from_arrays(
@@ -108,7 +111,7 @@ def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
     are joined, so a very frequent one is small where it is gathered, and its rows meet it
     in a join that Spark splits. A document's spans are at most as many as its lines.
     """
-    prints = written(_prints(docs, runs), "prints")
+    prints = _prints(docs, runs)
     # Written, so that the join below gets both sides freshly dealt and can split a hot print.
     firsts = written(
         prints.select("print", "size", F.struct("doc_id", "place").alias("where"))
