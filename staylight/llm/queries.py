@@ -27,13 +27,20 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of one Arrow batch: documents are large rows, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1_000
+
+
 def _find_package(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package wherever it was started.
-    On a cluster the package is installed or sent with ``--py-files``."""
+    """Let Python workers of a local session import this package wherever it was started, and keep
+    Arrow batches small. On a cluster the package is installed or sent with ``--py-files``."""
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
 
 
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
