@@ -3,8 +3,8 @@
 Equal shingle sets become one node first, so copies cost nothing further on. One hash of
 each shingle gives bin and value; empty bins are filled by optimal densification (each tries
 bins in an order of its own until one is filled), so small sets agree in as many bins as
-their similarity says. Bands of bins are buckets. In a bucket only the smallest node is
-compared with the others, on full sets. Where that leaves a bucket with more than one
+their similarity says. Bands of bins are buckets. In a bucket only the node that shares
+most is compared with the others, on full sets. Where that leaves a bucket with more than one
 component, further centres from outside its largest component are compared with the
 members of other components, until none is left: no link between members is lost, and a round
 never emits more than a fixed multiple of the rows in its buckets.
@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylight.llm.graph import components
@@ -42,7 +42,7 @@ class Hashing:
     bands: int = 28
     rows: int = 4
     percent: int = 80
-    centres: int = 16
+    centres: int = 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -144,79 +144,133 @@ def _sets(docs: DataFrame, nodes: DataFrame, hashing: Hashing) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, from the full sets."""
+    """``pairs`` (a, b) with ``linked`` and their distance ``apart`` (1 - similarity), from the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     counted = pairs.join(right, "b").join(left, "a").select(
         "a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b") - common).alias("either")
     )
-    return counted.groupBy("a", "b").agg(F.max(F.col("common") * 100 >= F.col("either") * percent).alias("linked"))
+    return counted.groupBy("a", "b").agg(
+        F.max(F.col("common") * 100 >= F.col("either") * percent).alias("linked"),
+        F.min(1 - F.col("common") / F.col("either")).alias("apart"),
+    )
 
 
-def _centres(members: DataFrame, labels: DataFrame, retired: DataFrame | None, hashing: Hashing):
-    """Members (bucket, node, component) of buckets with several components, and the next centres there."""
-    found = members.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
-    )
+def _pair(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def _starred(nodes: DataFrame) -> DataFrame:
+    """Members of buckets of two or more: ``bucket``, ``node``, ``n`` (members), ``weight``, ``centre``.
+
+    A node's weight is the number of rows in its buckets: what lies in the middle of a group
+    shares most buckets with most others, so the heaviest member is the centre.
+    """
+    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
+    # Written, like every grouped side below, so that joins get both sides freshly dealt and can split hot keys.
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    shared = written(rows.join(sizes, "bucket").select("bucket", "node", "n"), "shared-buckets")
+    weights = written(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    weighted = written(shared.join(weights, "node").select("bucket", "node", "n", "weight"), "weighted")
+    heaviest = F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")
+    centres = written(weighted.groupBy("bucket").agg(heaviest), "first-centres")
+    return written(weighted.join(centres, "bucket"), "bucket-members")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` of buckets that hold several components, with ``component`` and the bucket's ``largest``."""
+    found = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = found.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
-    largest = (
+    largest = written(
         parts.groupBy("bucket")
         .agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("parts"))
         .filter("parts > 1")
-        .select("bucket", F.col("most.component").alias("largest"))
+        .select("bucket", F.col("most.component").alias("largest")),
+        "largest",
     )
-    open_ = found.join(largest, "bucket")
-    others = open_.filter("component <> largest").select("bucket", "node", "component")
-    if retired is not None:
-        others = others.join(retired, ["bucket", "node"], "left_anti")
-    slot = F.pmod(F.xxhash64("node"), F.lit(hashing.centres))
-    centres = others.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "component")).alias("c"))
-    return open_, centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("of"))
+    return found.join(largest, "bucket")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members`` with ``size`` and ``common`` (shingles that any other set here has), without those that can
+    have no link: what two sets share is at most ``common`` of either."""
+    grams = sets.select("node", F.explode("grams").alias("gram"))
+    frequent = written(grams.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "common-shingles")
+    own = written(grams.join(frequent, "gram").groupBy("node").agg(F.count("*").alias("common")), "common-counts")
+    sizes = sets.select("node", F.size("grams").alias("size")).groupBy("node").agg(F.min("size").alias("size"))
+    able = sizes.join(own, "node").filter(F.col("common") * 100 >= F.col("size") * percent)
+    return members.join(written(able, "linkable"), "node")
 
 
 def links(docs: DataFrame, nodes: DataFrame, hashing: Hashing) -> DataFrame:
     """Components of ``nodes`` (node, buckets): ``node``, ``component`` for every node with a link.
 
-    Round one compares each bucket's smallest node with the rest. Later rounds only look at
-    buckets of three and more that still hold several components: up to ``centres`` nodes outside
-    the largest component are compared with members of other components and then retire. The
-    rounds end when every node outside the largest component of its bucket has retired, that is
-    when all pairs from different components of a bucket have been compared.
+    Round one compares the centre of each bucket with the rest. Later rounds only look at buckets
+    of three and more that still hold several components. Members outside the largest one
+    become centres in turn (one per bucket at first, eight times as many in each further round, up to
+    ``centres``), are compared with members of other components, and retire. The rounds end when every
+    node outside the largest component of its bucket has retired: then all pairs from different
+    components of a bucket have been compared, or need not be.
+
+    A pair need not be compared if its distances from the bucket's first centre differ by more than a
+    link's distance may be (Jaccard distance is a metric), or if either has too few shingles that
+    any other set has; and it is compared in the first bucket that it shares only. These are
+    conditions of the join, so such pairs are never made.
     """
-    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
-    # Written, like every grouped side below, so that joins get both sides freshly dealt and can split hot keys.
-    smallest = written(
-        rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "stars"
-    )
-    members = written(rows.join(smallest, "bucket"), "bucket-members")
-    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    members = _starred(nodes)
+    stars = members.filter("node <> centre").select(*_pair("centre", "node")).distinct()
     sets = written(_sets(docs, members.select("node").distinct(), hashing), "shingle-sets")
     compared = written(_compared(stars, sets, hashing.percent), "compared")
     labels = written(components(compared.filter("linked").select("a", "b")), "components")
 
-    members = members.filter("n > 2").select("bucket", "node").distinct()
-    retired = None
+    # What is left to do: members of open buckets, how far each is from the first centre, and its buckets.
+    left = _open(members.filter("n > 2"), labels).select("bucket", "node", "weight", "centre")
+    far = left.select("bucket", "node", "weight", *_pair("centre", "node")).join(compared.select("a", "b", "apart"), ["a", "b"], "left")
+    left = written(far.select("bucket", "node", "weight", F.coalesce("apart", F.lit(0.0)).alias("far")), "open-nodes")
+    sets = written(sets.join(left.select("node").distinct(), "node", "left_semi"), "open-sets")
+    members = written(
+        _linkable(left, sets, hashing.percent).join(nodes.dropDuplicates(["node"]), "node"), "open-members"
+    )
+    limit, retired, turn = 1 - hashing.percent / 100 + 1e-9, None, 0
     while True:
-        open_, centres = _centres(members, labels, retired, hashing)
-        centres = written(centres, "centres")
+        open_ = written(_open(members, labels), "open")
+        others = open_.filter("component <> largest")
+        if retired is not None:
+            others = others.join(retired, ["bucket", "node"], "left_anti")
+        slot = F.pmod(F.xxhash64("node"), F.lit(min(hashing.centres, 8**turn)))
+        heaviest = F.max_by(F.struct("node", "component", "far", "buckets", "size", "common"), F.struct("weight", -F.col("node")))
+        centres = written(others.groupBy("bucket", slot.alias("slot")).agg(heaviest.alias("c")), "centres")
         if centres.isEmpty():
             return labels
-        pairs = (
+        centres = centres.select("bucket", "c")
+        # Two sets of these sizes need so much in common, and cannot have more than either shares with any.
+        enough = F.least("common", "c.common") * (100 + hashing.percent) >= (F.col("size") + F.col("c.size")) * hashing.percent
+        first_shared = F.array_min(F.array_intersect(F.col("buckets"), F.col("c.buckets")))
+        pairs = written(
             open_.join(centres, "bucket")
-            .filter((F.col("component") != F.col("of")) & (F.col("node") != F.col("centre")))
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+            .filter(
+                (F.col("component") != F.col("c.component"))
+                & (F.abs(F.col("far") - F.col("c.far")) <= limit)
+                & enough
+                & (F.col("bucket") == first_shared)
+            )
+            .select(*_pair("node", "c.node"))
             .distinct()
-            .join(compared, ["a", "b"], "left_anti")
+            .join(compared, ["a", "b"], "left_anti"),
+            "pairs",
         )
-        more = written(_compared(pairs, sets, hashing.percent), "compared")
-        compared = compared.unionByName(more)
-        if not more.filter("linked").isEmpty():
-            # Labels stand for all links so far; new links join them.
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = written(components(known.unionByName(more.filter("linked").select("a", "b"))), "components")
-        now = centres.select("bucket", F.col("centre").alias("node"))
+        # Written, so that their size is known when they meet the sets: few pairs need not move any.
+        if not pairs.isEmpty():
+            more = written(_compared(pairs, sets, hashing.percent), "compared")
+            compared = compared.unionByName(more)
+            if not more.filter("linked").isEmpty():
+                # Labels stand for all links so far; new links join them.
+                known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                labels = written(components(known.unionByName(more.filter("linked").select("a", "b"))), "components")
+        now = centres.select("bucket", F.col("c.node").alias("node"))
         retired = now if retired is None else retired.unionByName(now)
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, hashing: Hashing = Hashing()) -> DataFrame:
