@@ -1,13 +1,13 @@
-"""Repeated runs of lines, found by winnowing and removed where they come again.
-
-Texts are read as logical lines: they end after a line break or the end of a sentence, so that
-a passage pasted into the middle of a paragraph still lines up. Hashes of ``GRAM``
-neighbouring lines are winnowed: of every ``WINDOW`` of them the smallest is a fingerprint, so
-two texts that share ``GRAM + WINDOW - 1`` lines in a row share a fingerprint there. A long
-line is a fingerprint by itself. Every fingerprint meets its first occurrence in the corpus (by
-document id, then place), and the match is extended line by line as far as a
-fingerprint can be missing on either side. Matched stretches of a text that overlap or
-touch are one run; runs of enough words are deleted.
+"""Repeated runs of words, found through minimizers and removed where they come again.
+
+Every window of ``Runs.words`` words that stands earlier in the corpus (by document id, then
+place) is repeated; what such windows cover is cut, to the word, wherever sentences end. Windows are
+not compared one by one. The least hash of the ``GRAM``-word pieces of a window stands for it;
+neighbouring windows with the same piece are one segment, of about 7 new words on average. Equal
+windows have equal pieces, so only segments whose piece comes again in the corpus are
+looked at. Segments equal as a whole are settled as a whole; where segments with the same piece
+differ, the first of each kind is taken apart into windows. Nothing is sampled: the
+result is that of comparing all windows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +27,23 @@ from pyspark.sql import types as T
 from staylight.workspace import written
 
 _LINE = re.compile(r"[^.!?;|\n]*[.!?;|\n]+|[^.!?;|\n]+")
-GRAM, WINDOW = 2, 2
+_WORD = re.compile(r"\s*\S+(?:\s+\Z)?|\s+\Z")
+#: Words of a piece, and pieces of a window of 20 words.
+GRAM, WINDOW = 8, 13
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 @dataclass(frozen=True)
 class Runs:
-    """``words``: fewest words of a run that is deleted, and of a line that is a fingerprint by itself."""
+    """``words``: fewest words of a run that is deleted."""
 
     words: int = 20
 
 
 def lines_of(text: str) -> list[str]:
-    """Logical lines; joined they are the text again."""
-    return _LINE.findall(text)
-
-
-def _hashes(text: str) -> np.ndarray:
-    """One hash per line. Lines compare without case and outer blanks; folding the case does not
-    look at neighbouring characters and makes no line ends, so the whole text is folded at once."""
-    folded = lines_of(text.casefold())
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(str.strip, folded)), np.uint64, len(folded))
+    """Words with the blanks before them; joined they are the text again."""
+    return _WORD.findall(text)
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -56,106 +53,214 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(text: str, runs: Runs) -> tuple[np.ndarray, ...]:
-    """Place, number of lines, hash, and the hashes of the lines just before and behind (0 at the ends)."""
-    lines, h = lines_of(text), _hashes(text)
-    n = len(lines)
-    at = np.zeros(0, np.int64)
-    grams = np.zeros(0, np.uint64)
-    if n >= GRAM:
-        grams = _mixed(h[: n - GRAM + 1], GRAM)
-        for k in range(1, GRAM):
-            grams = _mixed(grams + h[k : n - GRAM + 1 + k], k)
-        if len(grams) <= WINDOW:
-            at = np.array([grams.argmin()])
-        else:
-            views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-            at = np.unique(views.argmin(1) + np.arange(len(views)))
-    # A line of so many words has at least as many characters and blanks between.
-    alone = np.array([i for i, x in enumerate(lines) if len(x) >= 2 * runs.words - 1 and len(x.split()) >= runs.words], np.int64)
-    place = np.concatenate([at, alone])
-    size = np.repeat([GRAM, 1], [len(at), len(alone)])
-    value = np.concatenate([grams[at], _mixed(h[alone], 1)]) if len(place) else np.zeros(0, np.uint64)
-    padded = np.concatenate([np.zeros(1, np.uint64), h, np.zeros(1, np.uint64)])
-    return place, size, value, padded[place], padded[place + size + 1]
-
-
-_ROW = "doc_id long, place int, size int, print long, before long, behind long"
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2 ** 64, from 0 to n - 1."""
+    out = []
+    for base in (_MIX, _BACK):
+        factors = np.full(n, base)
+        factors[0] = 1
+        out.append(np.cumprod(factors))
+    return out[0], out[1]
+
+
+class _Words:
+    """Hashes of the words of some texts in a row, and of any stretch of them. Words compare without
+    case; folding it makes no white space, so whole texts are folded at once."""
+
+    def __init__(self, texts: list[str | None]):
+        words, counts = [], []
+        for text in texts:
+            found = text.casefold().split() if text else []
+            words += found
+            counts.append(len(found))
+        self.counts = np.array(counts, np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.owner = np.repeat(np.arange(len(counts)), self.counts)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        up, self.down = _powers(1 << max(10, len(h).bit_length()))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+
+    def stretch(self, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[at + size] - self.sums[at]) * self.down[at], 1)
+
+    def windows(self, n: int) -> np.ndarray:
+        """Where whole windows of ``n`` words start, none across two texts."""
+        m = len(self.owner) - n + 1
+        return np.flatnonzero(self.owner[:m] == self.owner[n - 1 :]) if m > 0 else np.zeros(0, np.int64)
+
+
+def _segments(words: _Words, n: int) -> tuple[np.ndarray, ...]:
+    """Text number, place, words, piece and hash of each segment of windows of ``n`` words.
+
+    A segment ends where the place of the least piece (the leftmost of equal ones) changes, so
+    no window comes twice within a segment."""
+    at = words.windows(n)
+    if not len(at):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    gram = min(GRAM, n)
+    best = words.stretch(np.arange(len(words.owner) - gram + 1), gram)
+    where = np.arange(len(best))
+    have, want = 1, n - gram + 1
+    while have < want:
+        step = min(have, want - have)
+        first = best[:-step] <= best[step:]
+        best, where = np.where(first, best[:-step], best[step:]), np.where(first, where[:-step], where[step:])
+        have += step
+    pieces, where = best[at], where[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (where[1:] != where[:-1]) | (words.owner[at[1:]] != words.owner[at[:-1]])
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, len(at))) + n - 1
+    start = at[starts]
+    owner = words.owner[start]
+    return owner, start - words.starts[owner], size, pieces[starts], words.stretch(start, size)
+
+
+def fingerprints(text: str, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, number of words and hash of every window of a text."""
+    words = _Words([text])
+    at = words.windows(runs.words)
+    return at, np.full(len(at), runs.words), words.stretch(at, runs.words)
+
+
+def _parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` characters of text (column 1), whatever the texts' lengths."""
+    start = size = 0
+    for k, text in enumerate(batch.column(1)):
+        size += text.as_buffer().size if text.is_valid else 0
+        if size >= most:
+            yield batch.slice(start, k + 1 - start)
+            start, size = k + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+_ROW = "doc_id long, place int, size int, piece long, print long"
+
+
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
 
 
 def _prints(docs: DataFrame, runs: Runs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                found = [fingerprints(t.as_py(), runs) for t in part.column(1)]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(f[0]) for f in found])
-                columns = [np.concatenate([f[k] for f in found]) for k in range(5)]
+            for part in _parts(batch):
+                owner, place, size, piece, value = _segments(_Words(part.column(1).to_pylist()), runs.words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()), pa.array(columns[0].astype(np.int32)), pa.array(columns[1].astype(np.int32)),
-                        *[pa.array(c.view(np.int64)) for c in columns[2:]],
+                        part.column(0).take(pa.array(owner)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)),
+                        pa.array(piece.view(np.int64)), pa.array(value.view(np.int64)),
                     ],
-                    ["doc_id", "place", "size", "print", "before", "behind"],
+                    ["doc_id", "place", "size", "piece", "print"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, _ROW)
+    return _usable(docs).mapInArrow(run, _ROW)
 
 
-def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
-    """Per document with any, its stretches of lines that stand earlier in the corpus: ``doc_id``, ``spans``
-    (first line, and the line after the last).
+def _opened(docs: DataFrame, segments: DataFrame, runs: Runs) -> DataFrame:
+    """The windows of ``segments`` (doc_id, place, size, piece), with the segment's piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = runs.words
+        for batch in batches:
+            for part in _parts(batch):
+                words = _Words(part.column(1).to_pylist())
+                listed = part.column(2)
+                rows, owner = listed.flatten(), np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
+                place, size, piece = (rows.field(k).to_numpy().astype(np.int64) for k in range(3))
+                each = size - n + 1
+                # Every window of every segment: the segment's number, then the step within it.
+                which = np.repeat(np.arange(len(each)), each)
+                at = place[which] + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+                owner = owner[which]
+                value = words.stretch(words.starts[owner] + at, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32)),
+                        pa.array(np.full(len(at), n, np.int32)), pa.array(piece[which]), pa.array(value.view(np.int64)),
+                    ],
+                    ["doc_id", "place", "size", "piece", "print"],
+                )
+
+    listed = segments.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size", "piece")).alias("segments"))
+    listed = listed.withColumnRenamed("doc_id", "of")
+    met = _usable(docs).join(listed, F.col("doc_id") == F.col("of")).select("doc_id", "text", "segments")
+    return met.mapInArrow(run, _ROW)
+
+
+_CONTENT = ["piece", "print", "size"]
 
-    Ids must be unique. Fingerprints are counted and reduced to the first occurrence before they
-    are joined, so a very frequent one is small where it is gathered, and its rows meet it
-    in a join that Spark splits. A document's spans are at most as many as its lines.
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """Each content with its first occurrence and the number of its ``rows``."""
+    return rows.groupBy(*_CONTENT).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("rows"))
+
+
+def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``doc_id`` and ``span`` of the ``rows`` that are not the first of their content."""
+    met = rows.join(firsts.filter("rows > 1").drop("rows"), _CONTENT)
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
+    span = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("size")).alias("stop")).alias("span")
+    return met.filter(~is_first).select("doc_id", span)
+
+
+def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
+    """Per document with any, its stretches of words that stand earlier in the corpus: ``doc_id``, ``spans``
+    (first word, and the word after the last).
+
+    Ids must be unique. What is counted is written before it is joined, so that joins get both sides
+    freshly dealt and Spark can split a hot piece or content. A segment that is not the first
+    of its content is repeated in all its windows. Of the others those whose piece has
+    several contents may share some windows; there the windows are compared themselves. A
+    document's spans are at most as many as its words.
     """
     prints = _prints(docs, runs)
-    # Written, so that the join below gets both sides freshly dealt and can split a hot print.
-    firsts = written(
-        prints.select("print", "size", F.struct("doc_id", "place").alias("where"))
-        .groupBy("print", "size")
-        .agg(F.min("where").alias("first"), F.count("*").alias("rows"))
-        .filter("rows > 1")
-        .drop("rows"),
-        "first-prints",
-    )
-    shared = written(prints.join(firsts, ["print", "size"]), "repeated-prints")
-    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))
-    origin = shared.filter(is_first).select(
-        "print", "size", F.col("before").alias("first_before"), F.col("behind").alias("first_behind")
-    )
-    later = shared.filter(~is_first).join(origin, ["print", "size"])
-    # No line is hashed to 0 at a text's end by more than chance; there nothing is extended.
-    extend = lambda own, first: F.when((F.col(own) == F.col(first)) & (F.col(own) != 0), 1).otherwise(0)
-    return later.select(
-        "doc_id",
-        F.struct(
-            (F.col("place") - extend("before", "first_before")).alias("start"),
-            (F.col("place") + F.col("size") + extend("behind", "first_behind")).alias("stop"),
-        ).alias("span"),
-    ).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-
-
-def cut_runs(text: str, spans: list[tuple[int, int]], least: int) -> tuple[str, int, int]:
-    """The text without its runs of at least ``least`` words, the lines and the words removed."""
-    lines = lines_of(text)
-    covered = np.zeros(len(lines) + 1, np.int64)
-    for start, stop in spans:
-        covered[start] += 1
-        covered[stop] -= 1
+    pieces = written(prints.groupBy("piece").agg(F.count("*").alias("c")).filter("c > 1").select("piece"), "repeated-pieces")
+    shared = written(prints.join(pieces, "piece", "left_semi"), "shared-segments")
+    firsts = written(_firsts(shared), "first-segments")
+    several = written(firsts.groupBy("piece").agg(F.count("*").alias("c")).filter("c > 1").select("piece"), "mixed-pieces")
+    mixed = firsts.join(several, "piece", "left_semi").select("first.doc_id", "first.place", "size", "piece")
+    windows = written(_opened(docs, mixed, runs), "windows")
+    first_windows = written(_firsts(windows).filter("rows > 1"), "first-windows")
+    spans = _later(shared, firsts).unionByName(_later(windows, first_windows))
+    return spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+
+
+def cut_runs(text: str, spans: list[tuple[int, int]] | np.ndarray, least: int) -> tuple[str, int, int]:
+    """The text without its runs of at least ``least`` words; the logical lines (they end after a line
+    break or a sentence) that lost words, run by run, and the words removed.
+
+    Where a run repeats words just before it that it overlaps (a word or phrase over and over), the first
+    ``least`` words of the repetition stay, as they are the first occurrence."""
+    words = lines_of(text)
+    ends = np.array(spans, np.int64).reshape(-1, 2)
+    covered = np.bincount(ends[:, 0], minlength=len(words) + 1) - np.bincount(ends[:, 1], minlength=len(words) + 1)
     inside = covered.cumsum()[:-1] > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
     removed_lines = removed_words = 0
     kept, last = [], 0
-    for a, b in zip(edges[::2], edges[1::2]):
-        words = sum(len(x.split()) for x in lines[a:b])
-        if words >= least:
-            kept += lines[last:a]
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if b - a < least:
+            continue
+        near = [x.casefold().strip() for x in words[max(0, a - least + 1) : a + least]]
+        own = len(near) - least
+        for d in range(1, own + 1):
+            if near[own - d : len(near) - d] == near[own:]:
+                a += least - d
+                break
+        if a < b:
+            gone = "".join(words[a:b])
+            kept += words[last:a]
             last = b
-            removed_lines, removed_words = removed_lines + int(b - a), removed_words + words
-    return "".join(kept + lines[last:]), removed_lines, removed_words
+            removed_lines, removed_words = removed_lines + len(lines_in(gone)), removed_words + b - a
+    return "".join(kept + words[last:]), removed_lines, removed_words
+
+
+def lines_in(text: str) -> list[str]:
+    """Logical lines."""
+    return _LINE.findall(text.strip())
 
 
 def without_repeats(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
@@ -180,11 +285,14 @@ def without_repeats(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], [[], []]
-            for text, spans in zip(batch.column(at), batch.column(len(names))):
+            spans = batch.column(len(names))
+            flat = spans.flatten()
+            pairs = np.stack([flat.field(k).to_numpy() for k in range(2)], 1)
+            stops = np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            for text, first, stop in zip(batch.column(at), np.append(0, stops[:-1]).tolist(), stops.tolist()):
                 text, lines, words = text.as_py(), 0, 0
-                if spans.is_valid and text:
-                    pairs = [(s["start"], s["stop"]) for s in spans.as_py()]
-                    text, lines, words = cut_runs(text, pairs, runs.words)
+                if first < stop and text:
+                    text, lines, words = cut_runs(text, pairs[first:stop], runs.words)
                 texts.append(text)
                 counts[0].append(lines)
                 counts[1].append(words)

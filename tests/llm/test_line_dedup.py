@@ -112,3 +112,33 @@ def test_odd_texts_repeated_and_missing_ids_clashes_and_empty_table(make, odd_te
     assert by[50] == [line] and by[51] == [line, line] and by[None] == [line] and by[52] == [""] and by[53] == ["other."]
     assert by[0] == [None] and by[1] == [""]
     assert ld.without_repeats(docs.limit(0), RUNS).count() == 0
+
+
+def test_every_repeated_window_goes_wherever_sentences_end(make):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    some = lambda k: [word() for _ in range(k)]
+    # 60 words inside one sentence of each text, with no line edge in common; and 20 words, the least there is.
+    passage, short = some(60), some(20)
+    part = passage[7:45]
+    texts = {
+        0: some(9) + part + some(5), 1: some(5) + passage + some(8), 2: some(30) + passage + some(1) + short + some(4),
+        3: short + some(3) + passage[:19] + some(2) + [x.upper() for x in passage[20:41]], 4: ["ho"] * 90, 5: some(2) + ["ho"] * 70,
+    }
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    # By the definition, from the words alone.
+    seen, want = set(), {}
+    for i, text in texts.items():
+        words = text.lower().split()
+        gone = set()
+        for p in range(len(words) - 19):
+            window = tuple(words[p : p + 20])
+            if window in seen:
+                gone.update(range(p, p + 20))
+            seen.add(window)
+        want[i] = [w for k, w in enumerate(text.split()) if k not in gone]
+    want[4] = ["ho"] * 20
+    got = results(ld.without_repeats(make(list(texts.items()))))
+    assert {i: t.split() for i, (t, _, _) in got.items()} == want
+    assert [len(want[i]) for i in range(6)] == [52, 35, 55, 24, 20, 2]
+    assert got[2][2] == 60 and got[3][2] == 41 and got[5][2] == 70
