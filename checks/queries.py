@@ -282,9 +282,9 @@ def w5_best_threshold(spark, sf):
     return C.best_threshold(curve(spark, sf)).withColumn("best_f1", F.bround("best_f1", 6))
 
 
-def w6_stratified_folds(spark, sf):
+def w6_stratified_folds(spark, sf, repeats=FOLD_REPEATS):
     flagged = K.with_target(panel(spark, sf), SPEC).select(ID, "label")
-    return stratified_folds(flagged, ID, "label", FOLDS, FOLD_REPEATS, SEED)
+    return stratified_folds(flagged, ID, "label", FOLDS, repeats, SEED)
 
 
 # --- models ------------------------------------------------------------------------------
@@ -313,15 +313,15 @@ def m2_scaling_stats(spark, sf):
     return figures.select("field", F.bround("mean", 6).alias("mean"), F.bround("sd", 6).alias("sd"))
 
 
-def m7_permutation_importance(spark, sf):
+def m7_permutation_importance(spark, sf, repeats=IMPORTANCE_REPEATS):
     frame = written(TR.training_rows(panel(spark, sf), SPEC), "importance-rows")
     return feature_importance(
-        frame, SPEC, TR.LABEL, _Level(ACCOUNT_SCORECARD), IMPORTANCE_REPEATS, SEED
+        frame, SPEC, TR.LABEL, _Level(ACCOUNT_SCORECARD), repeats, SEED
     )
 
 
-def t7_top_features(spark, sf):
-    return top_features(m7_permutation_importance(spark, sf))
+def t7_top_features(spark, sf, repeats=IMPORTANCE_REPEATS):
+    return top_features(m7_permutation_importance(spark, sf, repeats))
 
 
 def m9_drivers(spark, sf):
@@ -351,26 +351,28 @@ def m11_explained(spark, sf):
     )
 
 
-#: Model sizes for the checks; the defaults of TrainSettings are the full ones.
+#: The whole job: 5 folds x 10 repeats, 300 trees, 120 boosting rounds, 30 importance repeats.
+FULL = TR.TrainSettings()
+#: Cut model sizes for the checks against SQL; :func:`full_queries` has the same queries uncut.
 SMALL = TR.TrainSettings(
     folds=3, repeats=2, trees=20, boosting_rounds=10, importance_repeats=2, parallel_fits=4
 )
 
 
 @functools.cache
-def trained(spark: SparkSession, sf: str) -> TR.Trained:
+def trained(spark: SparkSession, sf: str, settings: TR.TrainSettings = SMALL) -> TR.Trained:
     # Written first: the fits should not derive the panel from the orders again.
-    return TR.train(written(panel(spark, sf), "training-panel"), SPEC, SMALL)
+    return TR.train(written(panel(spark, sf), "training-panel"), SPEC, settings)
 
 
-def _fitted(position):
+def _fitted(position, settings=SMALL):
     """Fit one candidate on every row and score every row with it."""
 
     def query(spark, sf):
         # Written first: fitting reads the rows several times.
         frame = written(TR.training_rows(panel(spark, sf), SPEC), "training-rows")
         encoder = M.fit_encoder(frame, SPEC)
-        candidate = M.candidates(SMALL.trees, SMALL.boosting_rounds)[position]
+        candidate = M.candidates(settings.trees, settings.boosting_rounds)[position]
         stages = M.fit_stages(encoder.transform(frame), SPEC, TR.LABEL, candidate, SEED)
         scorer = S.FittedScorer(candidate.label, M.as_pipeline(encoder, stages))
         return scorer.score(frame).select(ID, TR.LABEL, "probability")
@@ -378,21 +380,21 @@ def _fitted(position):
     return query
 
 
-def s6_metric_tables(spark, sf):
+def s6_metric_tables(spark, sf, settings=SMALL):
     folder = new_path(spark, "metrics")
-    store.write_tables(store.metric_tables(trained(spark, sf)), folder)
+    store.write_tables(store.metric_tables(trained(spark, sf, settings)), folder)
     return store.read_tables(spark, folder, "card")["card"]
 
 
-def s7_reloaded_model(spark, sf):
+def s7_reloaded_model(spark, sf, settings=SMALL):
     folder = new_path(spark, "model")
-    store.save_model(trained(spark, sf), folder)
+    store.save_model(trained(spark, sf, settings), folder)
     kept = store.load_model(spark, folder, SPEC)
     return S.score(panel(spark, sf), SPEC, kept.scorer).select(ID, "probability")
 
 
-def m11_fitted_explained(spark, sf):
-    t = trained(spark, sf)
+def m11_fitted_explained(spark, sf, settings=SMALL):
+    t = trained(spark, sf, settings)
     return E.explained(panel(spark, sf), SPEC, t.scorer, t.typical, t.threshold)
 
 
@@ -409,19 +411,19 @@ def m4a_logistic_balance(spark, sf):
     )
 
 
-def m5_held_out_rows(spark, sf):
-    found = trained(spark, sf).out_of_fold
+def m5_held_out_rows(spark, sf, settings=SMALL):
+    found = trained(spark, sf, settings).out_of_fold
     return found.select(ID, TR.LABEL, F.col("probability").between(0, 1).alias("in_range"))
 
 
-def s6_metric_card(spark, sf):
+def s6_metric_card(spark, sf, settings=SMALL):
     """The card's figures that follow from the panel, read back from disk."""
-    return s6_metric_tables(spark, sf).select("rows_total", "employees_scored", "attrition_rate", "models_fitted")
+    return s6_metric_tables(spark, sf, settings).select("rows_total", "employees_scored", "attrition_rate", "models_fitted")
 
 
-def s7_same_scores(spark, sf):
+def s7_same_scores(spark, sf, settings=SMALL):
     """Saving and loading a model changes no score."""
-    folder, now = new_path(spark, "model"), trained(spark, sf)
+    folder, now = new_path(spark, "model"), trained(spark, sf, settings)
     store.save_model(now, folder)
     kept = store.load_model(spark, folder, SPEC)
     before = S.score(panel(spark, sf), SPEC, now.scorer).select(ID, F.col("probability").alias("before"))
@@ -429,8 +431,8 @@ def s7_same_scores(spark, sf):
     return after.join(before, ID).select(ID, (F.col("probability") == F.col("before")).alias("same"))
 
 
-def m11_fitted_invariants(spark, sf):
-    found = m11_fitted_explained(spark, sf)
+def m11_fitted_invariants(spark, sf, settings=SMALL):
+    found = m11_fitted_explained(spark, sf, settings)
     return found.select(
         ID,
         (F.size("drivers") <= E.TOP_DRIVERS).alias("drivers_fit"),
@@ -650,3 +652,29 @@ def queries() -> dict[str, Query]:
         "r1_streamed_log": r1_streamed_log,
         "r2_streamed_summary": r2_streamed_summary,
     }
+
+
+def full_queries() -> dict[str, Query]:
+    """The queries that :func:`queries` registers with cut sizes, each with the sizes of a full run.
+
+    They have no SQL twins: the SQL beside the cut queries holds for their sizes."""
+    sized = {
+        "m5_held_out_rows": m5_held_out_rows,
+        "s6_metric_tables": s6_metric_tables,
+        "s6_metric_card": s6_metric_card,
+        "s7_reloaded_model": s7_reloaded_model,
+        "s7_same_scores": s7_same_scores,
+        "m11_fitted_explained": m11_fitted_explained,
+        "m11_fitted_invariants": m11_fitted_invariants,
+    }
+    found = {name: functools.partial(query, settings=FULL) for name, query in sized.items()} | {
+        "m4b_forest_scores": _fitted(1, FULL),
+        "m4c_boosting_scores": _fitted(2, FULL),
+        "m5_out_of_fold": lambda s, d: trained(s, d, FULL).out_of_fold,
+        "m6_model_card": lambda s, d: trained(s, d, FULL).card,
+        "t6_leaderboard": lambda s, d: trained(s, d, FULL).leaderboard,
+        "m7_permutation_importance": functools.partial(m7_permutation_importance, repeats=FULL.importance_repeats),
+        "t7_top_features": functools.partial(t7_top_features, repeats=FULL.importance_repeats),
+        "w6_stratified_folds": functools.partial(w6_stratified_folds, repeats=FULL.repeats),
+    }
+    return {f"{name}_full": query for name, query in found.items()}

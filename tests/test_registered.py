@@ -40,3 +40,31 @@ def test_one_scan_serves_all_breakdowns(spark):
     plan = registered.queries()["a3_breakdowns"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == 1 and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cut_queries_are_registered_with_full_sizes_too(spark, monkeypatch):
+    found = registered.queries()
+    cut = {
+        "m4b_forest_scores", "m4c_boosting_scores", "m5_out_of_fold", "m5_held_out_rows", "m6_model_card", "t6_leaderboard",
+        "s6_metric_tables", "s6_metric_card", "s7_reloaded_model", "s7_same_scores", "m11_fitted_explained",
+        "m11_fitted_invariants", "m7_permutation_importance", "t7_top_features", "w6_stratified_folds",
+    }
+    assert {f"{name}_full" for name in cut} <= set(found)
+    folds = found["w6_stratified_folds_full"](spark, FOLDER)
+    assert folds.count() == 10 * library.panel(spark, FOLDER).count()
+
+    class Stop(Exception):
+        pass
+
+    def taken(*args):
+        raise Stop(args[-1])
+
+    monkeypatch.setattr(library.TR, "train", taken)
+    monkeypatch.setattr(library, "feature_importance", lambda *args: taken(args[-2]))
+    monkeypatch.setattr(library.M, "candidates", lambda *args: taken(args))
+    sizes = {"m4b_forest_scores": (300, 120), "m4c_boosting_scores": (300, 120)}
+    sizes |= dict.fromkeys(("m7_permutation_importance", "t7_top_features"), 30)
+    for name in cut - {"w6_stratified_folds"}:
+        with pytest.raises(Stop) as stopped:
+            found[f"{name}_full"](spark, FOLDER)
+        assert stopped.value.args[0] == sizes.get(name, library.TR.TrainSettings()), name
