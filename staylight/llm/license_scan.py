@@ -1,6 +1,7 @@
 """Licence notices in texts, as an exact set-similarity join with DataFrame functions.
 
-A block is a line. A template matches a block that holds at least ``threshold`` of the
+A block is a line or, where ``wrapped`` notices are sought too, also a stretch of words across line
+breaks. A template matches a block that holds at least ``threshold`` of the
 template's distinct words. Words are put in one order, rarest in the whole corpus
 first. If a block holds enough of a template, it holds one of the first
 ``size - needed + 1`` words of it (prefix filter), so only such words are joined; blocks with
@@ -74,11 +75,27 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def _stretches(texts: DataFrame, longest: int) -> DataFrame:
+    """Overlapping stretches of the words of texts with several lines. Any 1.5 * ``longest`` words in
+    a row, however they are wrapped, lie whole in one of them."""
+    step = max(1, longest // 2)
+    words = F.col("all_words")
+    cut = F.transform(F.sequence(F.lit(0), F.size(words), F.lit(step)), lambda i: F.slice(words, i + 1, 2 * longest))
+    return (
+        texts.filter(F.contains("text", F.lit("\n")))
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), _tokens(F.col("text")).alias("all_words"))
+        .select("doc_id", "text_hash", F.posexplode(cut).alias("block", "stretch"))
+        .select("doc_id", "text_hash", (-1 - F.col("block")).alias("block"), F.array_distinct("stretch").alias("words"))
+    )
+
+
+def template_matches(
+    docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, wrapped: bool = False
+) -> DataFrame:
     """Every (block, template) with ``|block & template| >= threshold * |template|``.
 
-    ``docs`` has doc_id and text. Returns doc_id, text_hash, block (line number from 0), label,
-    template, overlap and containment. Missing texts have no blocks.
+    ``docs`` has doc_id and text. Returns doc_id, text_hash, block (line number from 0; -1, -2 and so on for
+    the stretches of ``wrapped``), label, template, overlap and containment. Missing texts have no blocks.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
@@ -99,11 +116,16 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.
     rare = F.array(*[F.lit(w) for w in sorted(prefixes, key=rank.__getitem__)])
     ordered = F.array(*[F.lit(w) for w in order])
 
-    blocks = (
-        documents(docs)
-        .filter(F.arrays_overlap(_tokens(F.col("text")), rare))
+    texts = documents(docs).filter(F.arrays_overlap(_tokens(F.col("text")), rare))
+    found = (
+        texts
         .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
         .select("doc_id", "text_hash", "block", F.array_distinct(_tokens(F.col("line"))).alias("words"))
+    )
+    if wrapped and known:
+        found = found.unionByName(_stretches(texts, max(len(words) for _, _, words in known)))
+    blocks = (
+        found
         .filter(F.arrays_overlap("words", rare))
         # The block's words that any template has, rarest first.
         .select(
@@ -155,12 +177,15 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, wrapped: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: phrases that name a licence, and templates found.
 
     Columns: doc_id, n_words, n_base, first_word, last_word (word numbers from 0, null without a
     phrase), base_labels and labels (distinct, sorted, comma-joined; empty without any), score (the
-    largest containment of a template found, 0 without any). Missing texts count as empty.
+    largest containment of a template found, 0 without any). Missing texts count as empty. With
+    ``wrapped``, templates are also found across line breaks.
     Repeated rows (same id and text) each get their result; rows that share an id but not
     the text are told apart.
     """
@@ -189,7 +214,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
         ).alias("_base"),
     )
     found = (
-        template_matches(docs, templates, threshold)
+        template_matches(docs, templates, threshold, wrapped)
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))
     )

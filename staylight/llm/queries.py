@@ -106,7 +106,7 @@ def op9_token_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf, "documents"))
+    return scan_licenses(_table(spark, sf, "documents"), wrapped=True)
 
 
 def queries() -> dict[str, Query]:

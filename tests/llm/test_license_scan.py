@@ -87,3 +87,16 @@ def test_query_equals_sql(spark, sample):
 
     result = compare(spark, sample[0], op10_license_scan, oracle_sql()["op10_license_scan"])
     assert result.startswith("ok"), result
+
+
+def test_query_finds_wrapped_notices(spark, make, tmp_path):
+    import textwrap
+
+    prose = "Some words stand before the notice and go on for a while.\n\n"
+    texts = [prose + textwrap.fill(t, width) + "\n" + prose for width in (72, 40, 16) for _, t in TEMPLATES]
+    make([*texts, prose * 3, "a\nb"]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op10_license_scan(spark, str(tmp_path)).collect()}
+    for i in range(len(texts)):
+        label = TEMPLATES[i % len(TEMPLATES)][0]
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, texts[i]
+    assert got[len(texts)]["labels"] == got[len(texts) + 1]["labels"] == ""
