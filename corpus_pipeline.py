@@ -21,9 +21,11 @@ from staylight.workspace import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier does not reject."""
+    """Documents that the positive-unlabelled classifier does not reject. Where no trusted positive is among
+    them nothing is learnt (all weights are zero), so none is rejected."""
     _find_package(spark)
-    return good_documents(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    net = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return good_documents(docs, net) if any(w.any() for w in net.weights) else docs
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

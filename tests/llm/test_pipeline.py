@@ -91,3 +91,9 @@ def test_missing_values_and_empty_tables(spark, sample, make):
         assert stage(spark, odd, folder).count() <= 5
     assert cp.line_dedup(spark, odd, folder).count() == 5
     assert cp.near_dedup(spark, odd, folder).count() == 5
+
+
+def test_quality_keeps_all_documents_when_nothing_is_learnt(spark, make, tmp_path):
+    docs = make([f"A clean text, number {i}, with a few plain words in it." for i in range(8)])
+    spark.createDataFrame([(i, 0) for i in range(8)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.quality(spark, docs, str(tmp_path)).count() == 8
