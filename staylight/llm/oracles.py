@@ -146,10 +146,81 @@ FROM base LEFT JOIN found USING (doc_id)
 """
 
 
+OP11_COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\x0A-\x0D]+')), '[^\x20\x09]+') AS words
+    FROM documents
+), grams AS (
+    SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, m, words, unnest(range(1, len(words) - m + 2)) AS i FROM pieces, range(1, 5) AS sizes(m))
+), f AS MATERIALIZED (
+    SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), known AS MATERIALIZED (
+    SELECT * FROM f WHERE f >= 30
+), candidate AS MATERIALIZED (
+    SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM known WHERE m > 1
+), sides AS MATERIALIZED (
+    SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM candidate)
+), cut AS (
+    SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+    FROM sides c
+    JOIN known l ON l.lang = c.lang AND l.phrase = c.head
+    JOIN known r ON r.lang = c.lang AND r.phrase = c.tail
+), lowest AS (
+    SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, max(a) AS most
+    FROM (SELECT lang, words, a, s, unnest(range(1, m - s + 2)) AS i
+          FROM (SELECT *, unnest(range(2, m)) AS s FROM candidate))
+    GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       CAST(score AS BIGINT) AS score
+FROM lowest LEFT JOIN inside USING (lang, phrase) JOIN totals USING (lang)
+WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+OP12_FILL_IN_MIDDLE = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS drawn
+    FROM documents
+), h AS (
+    SELECT doc_id, text, lines, CAST(len(lines) AS BIGINT) AS n,
+           CAST('0x' || drawn[1:8] AS BIGINT) AS h1, CAST('0x' || drawn[9:16] AS BIGINT) AS h2,
+           CAST('0x' || drawn[17:24] AS BIGINT) AS h3, CAST('0x' || drawn[25:32] AS BIGINT) AS h4
+    FROM t
+), cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+                THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM h
+), parts AS (
+    SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+           array_to_string(lines[b + 1:], '') AS suffix
+    FROM cut
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_WARC,
         "op5_near_dup": OP5_NEAR_DUP,
         "op7_line_rules": _line_rules(),
         "op10_license_scan": _license_scan(),
+        "op11_collocations": OP11_COLLOCATIONS,
+        "op12_fill_in_middle": OP12_FILL_IN_MIDDLE,
     }

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylight.llm.bpe import decode_documents, encode_documents
+from staylight.llm.collocations import mine_collocations
 from staylight.llm.decontaminate import contaminated
+from staylight.llm.fim import fill_in_middle, restored
+from staylight.llm.id_store import read_ids, write_ids
 from staylight.llm.license_scan import scan_licenses
 from staylight.llm.line_dedup import without_repeats
 from staylight.llm.line_rules import clean_lines
@@ -109,5 +112,30 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(_table(spark, sf, "documents"), wrapped=True)
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    return mine_collocations(_table(spark, sf, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    made = fill_in_middle(_table(spark, sf, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_id_store(spark: SparkSession, sf: str) -> DataFrame:
+    _find_package(spark)
+    store = write_ids(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(spark, store).drop("packed_bytes")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_line_dedup, op4_pu_quality, op5_near_dup, op6_decontamination, op7_line_rules, op8_byte_bpe, op9_token_count, op10_license_scan)}
+    numbered = (
+        op1_warc, op2_secret_scan, op3_line_dedup, op4_pu_quality, op5_near_dup, op6_decontamination, op7_line_rules,
+        op8_byte_bpe, op9_token_count, op10_license_scan, op11_collocations, op12_fill_in_middle, op13_id_store,
+    )
+    return {f.__name__: f for f in numbered}
