@@ -353,3 +353,29 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     rows = encoded.select("doc_id", "n_tokens", "ids")
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(decode, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str = PATTERN) -> DataFrame:
+    """:func:`encode_documents` and :func:`decode_documents` in one pass: each task keeps one Python worker with one
+    vocabulary, and the decoded bytes come from the ids alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value, pattern)
+        for batch in batches:
+            start = 0
+            for group in _groups(batch.column(1).to_pylist()):
+                ids = encoder.encode(group)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, len(group)),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array(ids, pa.binary()),
+                        pa.array(map(encoder.decode, ids), pa.binary()),
+                    ],
+                    ["doc_id", "n_tokens", "ids", "decoded"],
+                )
+                start += len(group)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return documents(docs).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
