@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylight.llm.bpe import decode_documents, encode_documents
+from staylight.llm.bpe import round_trip
 from staylight.llm.decontaminate import clean_documents
 from staylight.llm.line_dedup import without_repeats
 from staylight.llm.near_dup import representatives
@@ -53,8 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit numbers) and the SHA-256 of the bytes they
     decode to, which is that of the text."""
     _find_package(spark)
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode_documents(encode_documents(docs, ranks), ranks)
+    coded = round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
