@@ -544,8 +544,8 @@ FROM binned WHERE low IS NOT NULL GROUP BY low, high"""
     best = f"""best AS (SELECT threshold AS raw_threshold, f1 AS best_f1 FROM (
   SELECT *, 2.0::DOUBLE * tp / (tp + fp + positives) AS f1 FROM curve) ORDER BY f1 DESC, code LIMIT 1)"""
     amounts = "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS amount FROM orders"
-    folds = f"""folded AS (SELECT account_id, CAST(churned = 'Yes' AS INTEGER) AS label, CAST(i AS INTEGER) AS repeat
-  FROM panel, range({FOLD_REPEATS}) AS r(i))
+    folds = lambda repeats: f"""folded AS (SELECT account_id, CAST(churned = 'Yes' AS INTEGER) AS label, CAST(i AS INTEGER) AS repeat
+  FROM panel, range({repeats}) AS r(i))
 SELECT account_id, label, repeat, CAST((row_number() OVER (PARTITION BY repeat, label
   ORDER BY md5(concat_ws(':', CAST(account_id AS VARCHAR), CAST(repeat + {SEED} AS VARCHAR))), account_id) - 1) % {FOLDS} AS INTEGER) AS fold
 FROM folded"""
@@ -666,7 +666,7 @@ ORDER BY attrition_rate DESC, ord, position LIMIT 8"""
         "w4_thinned_roc": "WITH " + thin(ROC, "roc"),
         "w4_thinned_pr": "WITH " + thin(PR, "pr"),
         "w5_best_threshold": f"WITH {CURVE}, {best} SELECT raw_threshold, {even('best_f1', 6)} AS best_f1, {even('least(greatest(raw_threshold, 0.15), 0.85)', 3)} AS threshold FROM best",
-        "w6_stratified_folds": f"WITH {PANEL}, {folds}",
+        "w6_stratified_folds": f"WITH {PANEL}, {folds(FOLD_REPEATS)}",
         # models on the fixed scorecard
         "m1_one_hot_slots": f"WITH {FEAT} {slots}",
         "m2_scaling_stats": f"WITH {FEAT} {stats}",
@@ -681,6 +681,10 @@ ORDER BY attrition_rate DESC, ord, position LIMIT 8"""
         "s5_stored_breakdowns": f"WITH {FEAT},{rates} SELECT {rate_columns} FROM rates",
         "s8_exported_ranking": f"WITH {SCORED} SELECT CAST(account_id AS VARCHAR) AS account_id, probability, percent, risk_band, will_leave FROM ({ranked})",
         "m4a_logistic_balance": f"WITH {PANEL} SELECT count(*) AS rows, count(*) FILTER (WHERE churned = 'Yes') AS positives, 1.0::DOUBLE AS balance FROM panel",
+        "m5_logistic_folds": f"""WITH placed AS (WITH {PANEL}, {folds(10)}), held AS (
+  SELECT repeat, fold, count(*) AS n, sum(label) AS yes FROM placed GROUP BY repeat, fold)
+SELECT repeat, fold, CAST(sum(n) OVER w - n AS BIGINT) AS rows, CAST(sum(yes) OVER w - yes AS BIGINT) AS positives,
+  1.0::DOUBLE AS balance FROM held WINDOW w AS (PARTITION BY repeat)""",
         "m5_held_out_rows": f"WITH {PANEL} SELECT account_id, CAST(churned = 'Yes' AS INTEGER) AS label, TRUE AS in_range FROM panel",
         "s6_metric_card": f"WITH {PANEL} SELECT count(*) AS rows_total, count(*) AS employees_scored, round(avg(CASE churned WHEN 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS attrition_rate, CAST(3 * 3 * 2 + 1 AS INTEGER) AS models_fitted FROM panel",
         "s7_same_scores": f"WITH {PANEL} SELECT account_id, TRUE AS same FROM panel",

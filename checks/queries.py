@@ -26,6 +26,7 @@ from staylight.operators import clean as K
 from staylight.operators import curves as C
 from staylight.operators import explain as E
 from staylight.operators import models as M
+from staylight.operators import newton as N
 from staylight.operators import scoring as S
 from staylight.operators.features import engineer, model_frame
 from staylight.operators.headlines import headlines
@@ -39,7 +40,7 @@ from staylight.scorecards import ACCOUNT_SCORECARD
 from staylight.sources import files, log, store
 from staylight.sources.accounts import account_panel, document_panel
 from staylight.streaming import scoring as ST
-from staylight.workspace import new_path, written
+from staylight.workspace import new_path, shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPEC = ACCOUNTS
@@ -361,8 +362,10 @@ SMALL = TR.TrainSettings(
 
 @functools.cache
 def trained(spark: SparkSession, sf: str, settings: TR.TrainSettings = SMALL) -> TR.Trained:
-    # Written first: the fits should not derive the panel from the orders again.
-    return TR.train(written(panel(spark, sf), "training-panel"), SPEC, settings)
+    # One folder per input: the queries of a session, and a later one with the same shared folder, go on
+    # with the steps that are there.
+    folder = f"{shared_folder(spark)}/training-{files.fingerprint(spark, sf)}"
+    return TR.train(panel(spark, sf), SPEC, settings, folder=folder)
 
 
 def _fitted(position, settings=SMALL):
@@ -411,6 +414,14 @@ def m4a_logistic_balance(spark, sf):
     )
 
 
+def m5_logistic_folds(spark, sf):
+    """All 50 logistic fits of a full run, solved over shared scans: what each trains on, and its balance."""
+    frame = TR.numbered(TR.training_rows(panel(spark, sf), SPEC))
+    encoded = written(TR.with_folds(M.fit_encoder(frame, SPEC).transform(frame), SPEC, FULL), "encoded")
+    fits = N.fit_folds(encoded, TR.LABEL, FULL.folds, FULL.repeats)
+    return N.training_balance(encoded, TR.LABEL, fits).withColumn("balance", F.bround("balance", 6))
+
+
 def m5_held_out_rows(spark, sf, settings=SMALL):
     found = trained(spark, sf, settings).out_of_fold
     return found.select(ID, TR.LABEL, F.col("probability").between(0, 1).alias("in_range"))
@@ -644,6 +655,7 @@ def queries() -> dict[str, Query]:
         "m11_rows_without_own_ids": m11_rows_without_own_ids,
         "m4a_logistic_balance": m4a_logistic_balance,
         "m5_held_out_rows": m5_held_out_rows,
+        "m5_logistic_folds": m5_logistic_folds,
         "s6_metric_card": s6_metric_card,
         "s7_same_scores": s7_same_scores,
         "m11_fitted_invariants": m11_fitted_invariants,

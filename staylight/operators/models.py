@@ -38,6 +38,8 @@ class Candidate:
     #: (training rows, seed) -> unfitted estimator
     estimator: Callable[[int, int], Estimator]
     balanced: bool
+    #: Whether all fits of a cross-validation are solved together over shared scans.
+    shared_scans: bool = False
 
 
 def candidates(trees: int = 300, boosting_rounds: int = 120) -> list[Candidate]:
@@ -68,7 +70,7 @@ def candidates(trees: int = 300, boosting_rounds: int = 120) -> list[Candidate]:
         Candidate(
             "logistic_regression", "Logistic Regression",
             "Transparent linear baseline - every feature gets a readable weight.",
-            logistic, True,
+            logistic, True, shared_scans=True,
         ),
         Candidate(
             "random_forest", "Random Forest",

@@ -7,14 +7,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylight.operators import curves as C
+from staylight.operators import newton
 from staylight.operators.clean import with_target
 from staylight.operators.features import model_frame
 from staylight.operators.importance import REPEATS, feature_importance, top_features
 from staylight.operators.models import (
+    CATEGORIES,
+    NUMBERS,
     Candidate,
     as_pipeline,
     candidates,
@@ -25,7 +29,7 @@ from staylight.operators.ordering import stratified_folds
 from staylight.operators.scoring import FittedScorer
 from staylight.operators.typical import typical_entity
 from staylight.spec import PanelSpec
-from staylight.workspace import new_path, written
+from staylight.workspace import Journal, new_path, written
 
 LABEL = "label"
 
@@ -114,44 +118,65 @@ def _training_totals(encoded: DataFrame, settings: TrainSettings) -> dict[tuple[
 
 
 def out_of_fold(
-    encoded: DataFrame, spec: PanelSpec, competitors: list[Candidate], settings: TrainSettings
+    encoded: DataFrame, spec: PanelSpec, competitors: list[Candidate], settings: TrainSettings,
+    journal: Journal | None = None,
 ) -> dict[str, DataFrame]:
     """Per candidate ``id, label, probability``: the mean held-out score of every row over the repeats.
 
-    All fits of all candidates share one pool, so slow ones overlap with quick ones. The
-    held-out scores of each fit are written to their own folder, so a lost executor
-    or a repeated task never refits a model.
+    Fits of a candidate that allows it are solved together (:mod:`staylight.operators.newton`), unless there are too
+    many features for that. The others share one pool, so slow ones overlap with quick ones. The held-out
+    scores of each fit are a step of the journal, so a lost executor, a repeated task or a run that
+    starts again never refits a model.
     """
-    spark, totals = encoded.sparkSession, _training_totals(encoded, settings)
-    paths = {c.key: new_path(spark, f"oof-{c.key}") for c in competitors}
+    spark = encoded.sparkSession
+    journal = journal or Journal(spark, new_path(spark, "training"), settings)
+    together = [c for c in competitors if c.shared_scans and _width(encoded) <= newton.WIDEST]
+    alone = [c for c in competitors if c not in together]
+    folds = [(r, k) for r in range(settings.repeats) for k in range(settings.folds)]
+
+    def shared() -> DataFrame:
+        fits = newton.fit_folds(encoded, LABEL, settings.folds, settings.repeats)
+        return newton.held_out_scores(encoded, LABEL, fits, spec.entity_id, LABEL)
+
+    found = {c.key: journal.table(f"out-of-fold/{c.key}", shared) for c in together}
+    step = lambda c, r, k: f"fits/{c.key}/repeat={r}/fold={k}"
+    # The slowest kinds of fit first.
+    jobs = [(c, r, k) for c in reversed(alone) for r, k in folds if not journal.done(step(c, r, k))]
+    totals = _training_totals(encoded, settings) if jobs else {}
 
     def one(job: tuple[Candidate, int, int]) -> None:
         candidate, repeat, fold = job
         mine = F.col(f"fold_{repeat}")
-        fitted = fit_stages(
-            encoded.filter(mine != fold), spec, LABEL, candidate, settings.seed + repeat,
-            totals.get((repeat, fold)),
-        )
-        # Only the pipeline stages are needed here; the rows are already encoded.
-        scorer = FittedScorer(candidate.label, fitted)
-        held = scorer.score(encoded.filter(mine == fold))
-        held.select(ROW, spec.entity_id, LABEL, "probability").write.parquet(
-            f"{paths[candidate.key]}/repeat={repeat}/fold={fold}"
-        )
 
-    # The slowest kinds of fit first.
-    jobs = [(c, r, k) for c in reversed(competitors) for r in range(settings.repeats) for k in range(settings.folds)]
+        def scores() -> DataFrame:
+            fitted = fit_stages(
+                encoded.filter(mine != fold), spec, LABEL, candidate, settings.seed + repeat,
+                totals.get((repeat, fold)),
+            )
+            # Only the pipeline stages are needed here; the rows are already encoded.
+            held = FittedScorer(candidate.label, fitted).score(encoded.filter(mine == fold))
+            return held.select(ROW, spec.entity_id, LABEL, "probability")
+
+        journal.table(step(*job), scores)
+
     with ThreadPoolExecutor(settings.parallel_fits) as pool:
         list(pool.map(one, jobs))
 
-    def means(path: str) -> DataFrame:
-        grouped = spark.read.parquet(path).groupBy(ROW).agg(
+    def means(candidate: Candidate) -> DataFrame:
+        every = spark.read.option("basePath", journal.path(f"fits/{candidate.key}"))
+        grouped = every.parquet(*(journal.path(step(candidate, r, k)) for r, k in folds)).groupBy(ROW).agg(
             F.max(spec.entity_id).alias(spec.entity_id), F.max(LABEL).alias(LABEL),
             F.avg("probability").alias("probability"),
         )
-        return written(grouped.drop(ROW), "out-of-fold")
+        return grouped.drop(ROW)
+
+    found |= {c.key: journal.table(f"out-of-fold/{c.key}", lambda c=c: means(c)) for c in alone}
+    return {c.key: found[c.key] for c in competitors}
+
 
-    return {key: means(path) for key, path in paths.items()}
+def _width(encoded: DataFrame) -> int:
+    sizes = (F.max(F.size(vector_to_array(c))) for c in (CATEGORIES, NUMBERS))
+    return 1 + sum(n or 0 for n in encoded.agg(*sizes).first())
 
 
 def evaluate(scores: DataFrame, candidate: Candidate) -> dict:
@@ -203,20 +228,27 @@ def _importance_model(encoded, encoder, spec, winner, settings, final):
 
 def train(
     df: DataFrame, spec: PanelSpec, settings: TrainSettings = TrainSettings(),
-    competitors: list[Candidate] | None = None,
+    competitors: list[Candidate] | None = None, folder: str | None = None,
 ) -> Trained:
-    """Compare the candidates on out-of-fold scores, refit the winner on every row."""
+    """Compare the candidates on out-of-fold scores, refit the winner on every row.
+
+    ``folder``: where the steps of the run are kept. A run that starts again with the same folder, settings, candidates
+    and model columns takes finished steps from there, the training rows included; so each input
+    needs a folder of its own. Without one the steps go to a fresh folder.
+    """
     started = time.perf_counter()
     spark = df.sparkSession
     competitors = competitors or candidates(settings.trees, settings.boosting_rounds)
+    work = folder or new_path(spark, "training")
+    journal = Journal(spark, work, (settings, [c.key for c in competitors], spec.entity_id, spec.target, spec.model_columns))
 
-    frame = numbered(training_rows(df, spec))
+    frame = journal.table("rows", lambda: training_rows(df, spec).withColumn(ROW, F.monotonically_increasing_id()))
     encoder = fit_encoder(frame, spec)
     # Read by every fit, so written once: the fits' many small jobs then carry a plan that
     # only reads a table, and a lost executor costs no more than reading it again.
-    encoded = written(with_folds(encoder.transform(frame), spec, settings), "encoded")
+    encoded = journal.table("encoded", lambda: with_folds(encoder.transform(frame), spec, settings))
 
-    scores = out_of_fold(encoded, spec, competitors, settings)
+    scores = out_of_fold(encoded, spec, competitors, settings, journal)
     board = [evaluate(scores[c.key], c) for c in competitors]
     best = max(board, key=lambda row: row["roc_auc"] or 0.0)  # the first one on ties
     winner = next(c for c in competitors if c.key == best["key"])
