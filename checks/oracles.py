@@ -706,5 +706,6 @@ SELECT "row", CAST(account_id AS VARCHAR) AS account_id, 'tier' AS field, 'unkno
   count(*) FILTER (WHERE p >= {THRESHOLD}) AS flagged FROM scored GROUP BY 1""",
         "s9_stored_log": f"WITH {LOG} SELECT {LOG_COLUMNS} FROM log",
         "r1_streamed_log": f"WITH {LOG} SELECT {LOG_COLUMNS.replace('source', q('stream') + ' AS source')} FROM log",
+        "r1_streamed_rejects": f"WITH {PANEL} SELECT account_id, 'tier' AS field, 'unknown category' AS rule, 'Platinum' AS value FROM panel WHERE segment = 'BUILDING'",
         "r2_streamed_summary": f"WITH {LOG} {LOG_SUMMARY}",
     }

@@ -536,28 +536,38 @@ def s9_stored_log(spark, sf):
     return _log_columns(log.read_log(spark, path))
 
 
-def _streamed_log(spark, sf, path: str | None = None) -> str:
-    source, sink = new_path(spark, "arrivals"), path or new_path(spark, "stream-log")
-    panel(spark, sf).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    entities = ST.read_entities(spark, source, schema, files_per_batch=4)
-    rows, _ = ST.scored_stream(
-        entities, SPEC, ACCOUNT_SCORECARD, THRESHOLD, F.lit(RUN_AT), F.col(ID)
-    )
-    ST.append_stream(rows, sink, new_path(spark, "stream-state")).awaitTermination()
+def _stream_into(spark, sf, entities_of, path: str) -> str:
+    source, sink = new_path(spark, "arrivals"), path
+    entities_of.write.parquet(source)
+    entities = ST.read_entities(spark, source, entities_of.schema, files_per_batch=4)
+    ST.score_stream(
+        entities, SPEC, ACCOUNT_SCORECARD, THRESHOLD, sink, new_path(spark, "stream-state"), F.lit(RUN_AT), F.col(ID)
+    ).awaitTermination()
     return sink
 
 
+def _streamed_log(spark, sf, path: str | None = None) -> str:
+    return _stream_into(spark, sf, panel(spark, sf), path or new_path(spark, "stream-log"))
+
+
 def r1_streamed_log(spark, sf):
     return _log_columns(log.read_log(spark, _streamed_log(spark, sf)))
 
 
+def r1_streamed_rejects(spark, sf):
+    """A stream in which one segment has an unknown tier: the rows that are turned away, by rule."""
+    c = F.col
+    dirty = panel(spark, sf).withColumn("tier", F.when(c("segment") == "BUILDING", "Platinum").otherwise(c("tier")))
+    sink = _stream_into(spark, sf, dirty, new_path(spark, "stream-log"))
+    return log.read_rejected(spark, sink).select(ID, F.inline("violations"))
+
+
 def r2_streamed_summary(spark, sf):
+    """The running totals beside a streamed log, after its first micro-batch has been repeated."""
     sink = _streamed_log(spark, sf)
-    entries = spark.readStream.schema(log.LOG_TYPE).parquet(sink)
-    name = "running_" + sink.rsplit("-", 1)[1]
-    ST.running_summary(entries, name, new_path(spark, "summary-state")).awaitTermination()
-    return spark.table(name)
+    first = log.read_log(spark, sink).filter(F.col("run") == f"stream-{0:012d}")
+    log.append(written(first.drop("run"), "repeated"), sink, f"stream-{0:012d}")
+    return ST.running_summary(spark, sink)
 
 
 def queries() -> dict[str, Query]:
@@ -662,6 +672,7 @@ def queries() -> dict[str, Query]:
         "s10_cleared_log": s10_cleared_log,
         "s9_stored_log": s9_stored_log,
         "r1_streamed_log": r1_streamed_log,
+        "r1_streamed_rejects": r1_streamed_rejects,
         "r2_streamed_summary": r2_streamed_summary,
     }
 

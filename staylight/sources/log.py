@@ -1,19 +1,22 @@
-"""The scoring log: an append-only dataset with one folder per day and run.
+"""The scoring log: an append-only dataset of runs, each committed by one entry.
 
 Batches and streams share it: both append whole runs. A run has a name, and appending a run
-again replaces it, so a stream that repeats a batch after a failure leaves no double rows.
+again replaces it, so a stream that repeats a batch after a failure leaves no double rows. The files of an
+attempt lie in a folder of their own, one below it per day, and nothing is overwritten or deleted: readers that
+have begun keep what they read. The entry of a run carries its totals, so the summary of the whole log costs
+no scan, and a run that comes again replaces its part of it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from staylight.functions import derived as D
+from staylight.sources.commits import live, publish
 from staylight.spec import PanelSpec
 
 LOG_TYPE = (
@@ -55,23 +58,70 @@ def log_rows(
     )
 
 
-def append(rows: DataFrame, path: str, run: str | None = None) -> None:
-    """Append one run: its files appear together when the job commits, or not at all.
+def append(rows: DataFrame, path: str, run: str | None = None, rejected: DataFrame | None = None) -> None:
+    """Append one run, and the rows that were turned away with it: both appear together when the entry is
+    committed, or not at all, however many days they touch.
 
     Without a name the run gets one that sorts by the time of the call, so that later runs
-    of one second stay newer."""
+    of one second stay newer. What the entry says of the run is counted while it is written."""
+    spark = rows.sparkSession
     name = run or f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    (
-        rows.withColumn("run", F.lit(name))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("score_date", "run")
-        .parquet(path)
+    attempt, seen, turned_away = uuid.uuid4().hex, Observation(), Observation()
+    counted = rows.withColumn("run", F.lit(name)).observe(
+        seen,
+        F.count("*").alias("rows"), F.sum("will_leave").alias("flagged"), F.sum("probability").alias("probability"),
+        F.sum(F.col("salary") * F.col("probability")).alias("at_risk"),
+        F.min("score_date").cast("string").alias("first_day"), F.max("score_date").cast("string").alias("last_day"),
     )
+    counted.write.partitionBy("score_date").parquet(f"{_data(path)}/attempt={attempt}")
+    entry = {"op": "append", "run": name, "attempt": attempt, **seen.get, "rejected": 0}
+    if rejected is not None:
+        kept = rejected.withColumn("run", F.lit(name)).observe(turned_away, F.count("*").alias("rows"))
+        kept.write.parquet(f"{_rejected(path)}/attempt={attempt}")
+        entry["rejected"] = turned_away.get["rows"]
+    publish(spark, path, entry)
+
+
+def _data(path: str) -> str:
+    return f"{path.rstrip('/')}/data"
+
+
+def _rejected(path: str) -> str:
+    return f"{path.rstrip('/')}/rejected"
+
+
+def _read(spark: SparkSession, path: str, attempts: list[str]) -> DataFrame:
+    if not attempts:
+        return spark.createDataFrame([], LOG_TYPE)
+    reader = spark.read.schema(f"{LOG_TYPE}, attempt string").option("basePath", _data(path))
+    found = reader.parquet(*(f"{_data(path)}/attempt={a}" for a in attempts))
+    return found.select(*(part.split()[0] for part in LOG_TYPE.split(", ")))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_TYPE).parquet(path)
+    """The rows of all live runs; the driver holds one name per run."""
+    return _read(spark, path, [r["attempt"] for r in live(spark, path).filter("rows > 0").select("attempt").collect()])
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that live runs turned away, with their violations and ``run``; nothing if there are none."""
+    attempts = [r["attempt"] for r in live(spark, path).filter("rejected > 0").select("attempt").collect()]
+    if not attempts:
+        return None
+    reader = spark.read.option("basePath", _rejected(path))
+    return reader.parquet(*(f"{_rejected(path)}/attempt={a}" for a in attempts)).drop("attempt")
+
+
+def stored_summary(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`summary` of a stored log from the totals of its live runs; no row is read."""
+    rows, zero = F.coalesce(F.sum("rows"), F.lit(0)), F.lit(0.0)
+    mean = F.coalesce(F.try_divide(F.sum("probability"), F.sum("rows")), zero)
+    return live(spark, path).agg(
+        rows.alias("total"),
+        F.coalesce(F.sum("flagged"), F.lit(0)).alias("flagged"),
+        F.bround(mean, 4).alias("avg_probability"),
+        F.bround(F.coalesce(F.sum("at_risk"), zero), 0).cast("bigint").alias("salary_at_risk"),
+    )
 
 
 def summary(log: DataFrame) -> DataFrame:
@@ -93,37 +143,34 @@ def recent(log: DataFrame, limit: int = 25) -> DataFrame:
     return newest.drop("payload", "score_date", "run")
 
 
-def _days(log: DataFrame) -> list[str]:
-    """The days of a stored log, newest first, from the names of its folders alone."""
-    found = (re.search(r"score_date=(\d{4}-\d\d-\d\d)", name) for name in log.inputFiles())
-    return sorted({m[1] for m in found if m}, reverse=True)
-
-
 def recent_from(spark: SparkSession, path: str, limit: int = 25) -> DataFrame:
-    """:func:`recent` on a stored log, opening only the last days that hold enough rows.
+    """:func:`recent` on a stored log, opening only the runs and days that can hold the newest rows.
 
-    Days come from the folder listing that Spark holds anyway; rows are counted in the
-    newest one, two, four and so on days until they are enough.
+    The entries say how many rows each run has and from which day on: the last day from which on
+    whole runs hold enough rows bounds what is opened.
     """
     low, high = RECENT_RANGE
-    wanted, log = max(low, min(limit, high)), read_log(spark, path)
-    days, span = _days(log), 1
-    while days:
-        last = log.filter(F.col("score_date") >= F.lit(days[min(span, len(days)) - 1]).cast("date"))
-        if span >= len(days) or last.count() >= wanted:
-            return recent(last, wanted)
-        span *= 2
-    return recent(log, wanted)
+    wanted = max(low, min(limit, high))
+    runs = live(spark, path).filter("rows > 0").select("attempt", "rows", "first_day", "last_day").collect()
+    runs.sort(key=lambda r: r["first_day"], reverse=True)
+    since, held = None, 0
+    for run in runs:
+        held += run["rows"]
+        if held >= wanted:
+            since = run["first_day"]
+            break
+    if since is None:
+        return recent(_read(spark, path, [r["attempt"] for r in runs]), wanted)
+    opened = _read(spark, path, [r["attempt"] for r in runs if r["last_day"] >= since])
+    return recent(opened.filter(F.col("score_date") >= F.lit(since)), wanted)
 
 
 def clear(spark: SparkSession, path: str) -> int:
-    """Empty the log; returns how many rows it held.
+    """Empty the log by an entry; returns how many rows it held.
 
-    A stream keeps its own checkpoint: after a restart it goes on with new arrivals and does
+    Runs committed before it no longer count, those after it do, and readers that have begun are not disturbed: the
+    files stay. A stream keeps its own checkpoint: after a restart it goes on with new arrivals and does
     not bring cleared rows back."""
-    removed = read_log(spark, path).count()
-    empty = spark.createDataFrame([], LOG_TYPE)
-    # Not partitioned: under dynamic overwrite an empty partitioned write removes nothing.
-    bare = empty.drop("score_date", "run").write.mode("overwrite").option("partitionOverwriteMode", "static")
-    bare.parquet(path)
+    removed = live(spark, path).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    publish(spark, path, {"op": "clear"})
     return removed

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from staylight.operators.clean import apply_defaults, coerce_numerics, split_valid, trim_strings
+from staylight.operators.clean import apply_defaults, coerce_numerics, split_valid, trim_strings, with_violations
 from staylight.operators.scoring import Scorer, score
 from staylight.sources.files import delimited_options
-from staylight.sources.log import append, log_rows, summary
+from staylight.sources.log import append, log_rows, stored_summary
 from staylight.spec import PanelSpec
+from staylight.workspace import written
 
 
 def read_entities(
@@ -57,25 +58,32 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, name: str = "stre
     )
 
 
-def append_rejected(rejected: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the rows that validation turned away, with their violations, to a dataset of their own."""
-    return (
-        rejected.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def score_stream(
+    entities: DataFrame, spec: PanelSpec, scorer: Scorer, threshold: float, path: str, checkpoint: str,
+    created_at: Column | None = None, sequence: Column | None = None, name: str = "stream",
+) -> StreamingQuery:
+    """Validate, score and log a stream in one query: takes what has arrived and ends.
+
+    Each micro-batch is read and validated once; its scored and its rejected rows are committed together as
+    one run (:func:`staylight.sources.log.read_log`, :func:`~staylight.sources.log.read_rejected`)."""
 
+    def one(batch: DataFrame, number: int) -> None:
+        checked = written(with_violations(apply_defaults(trim_strings(batch), spec), spec), "checked-batch")
+        valid = checked.filter(F.size("violations") == 0).drop("violations")
+        scored = score(coerce_numerics(valid, spec), spec, scorer)
+        order = F.xxhash64(F.col(spec.entity_id)) if sequence is None else sequence
+        rows = log_rows(scored, spec, threshold, "stream", created_at, order)
+        append(rows, path, f"{name}-{number:012d}", rejected=checked.filter(F.size("violations") > 0))
 
-def running_summary(log: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Totals over a streamed log, kept as the in-memory table ``name`` (one row)."""
     return (
-        summary(log).writeStream.format("memory")
-        .queryName(name)
+        entities.writeStream.foreachBatch(one)
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def running_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Totals over the log that streams append to (one row): every run's own part, added up. A micro-batch that runs
+    again after a failure replaces its part, so it is never counted twice."""
+    return stored_summary(spark, path)

@@ -1,8 +1,11 @@
 import datetime as dt
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylight.bindings import HR
@@ -10,7 +13,7 @@ from staylight.operators import scoring as S
 from staylight.operators.clean import contract_columns
 from staylight.plans.batch import score_batch
 from staylight.scorecards import HR_SCORECARD
-from staylight.sources import files, log
+from staylight.sources import commits, files, log
 from staylight.streaming import scoring as ST
 from staylight.workspace import shared_folder, written
 from tests.conftest import AT_RISK, person
@@ -62,22 +65,21 @@ def test_a_run_replaces_itself_and_later_runs_are_newer(spark, hr, tmp_path):
 
 
 def test_batches_and_streams_share_a_log(spark, hr, tmp_path):
-    source, path, state, bad = (str(tmp_path / n) for n in ("in", "log", "state", "bad"))
+    source, path, state = (str(tmp_path / n) for n in ("in", "log", "state"))
     people = contract_columns(hr, HR)
     people.limit(30).withColumn("Age", F.when(F.col("EmployeeID") == "EMP-0003", 7.0).otherwise(F.col("Age"))).write.parquet(source)
     schema = spark.read.parquet(source).schema
 
     def stream():
-        rows, rejected = ST.scored_stream(ST.read_entities(spark, source, schema), HR, HR_SCORECARD, 0.5, F.lit(DAY))
-        ST.append_stream(rows, path, state).awaitTermination()
-        ST.append_rejected(rejected, bad, state + "-bad").awaitTermination()
+        entities = ST.read_entities(spark, source, schema)
+        ST.score_stream(entities, HR, HR_SCORECARD, 0.5, path, state, F.lit(DAY)).awaitTermination()
 
     log.append(entries(hr), path)
     stream()
     log.append(entries(hr), path)
     stream()
     assert log.read_log(spark, path).count() == 80 + 29 + 80
-    rejected = spark.read.parquet(bad).collect()
+    rejected = log.read_rejected(spark, path).collect()
     assert [(r.EmployeeID, r.violations[0].field) for r in rejected] == [("EMP-0003", "Age")]
     assert log.clear(spark, path) == 189
     stream()
@@ -220,11 +222,70 @@ def test_stream_equals_batch(spark, hr, tmp_path):
     keep = ["employee_ref", "probability", "risk_band", "will_leave", "salary", "years_here", "job_role", "payload"]
     assert sorted(streamed.select(keep).collect()) == sorted(entries(people).select(keep).collect())
 
-    totals = ST.running_summary(
-        spark.readStream.schema(log.LOG_TYPE).parquet(sink), "running_totals", str(tmp_path / "s2")
-    )
-    totals.awaitTermination()
-    assert spark.table("running_totals").collect() == log.summary(streamed).collect()
+    totals = ST.running_summary(spark, sink).collect()
+    assert totals == log.summary(streamed).collect()
+    # A micro-batch that runs again replaces its own part of the totals.
+    batch = streamed.filter("run = 'stream-000000000000'")
+    log.append(written(batch.drop("run"), "again"), sink, "stream-000000000000")
+    assert ST.running_summary(spark, sink).collect() == totals and log.read_log(spark, sink).count() == 80
+
+
+def test_a_stream_commits_scored_and_rejected_rows_together(spark, hr, tmp_path, monkeypatch):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "log", "state"))
+    people = contract_columns(hr, HR).limit(40).withColumn("Age", F.when(F.col("EmployeeID") < "EMP-0003", 7.0).otherwise(F.col("Age")))
+    people.coalesce(1).write.parquet(source)
+    bad = people.filter("Age = 7.0").count()
+    schema = spark.read.parquet(source).schema
+
+    def stream():
+        entities = ST.read_entities(spark, source, schema, files_per_batch=1)
+        ST.score_stream(entities, HR, HR_SCORECARD, 0.5, sink, state, F.lit(DAY)).awaitTermination()
+
+    def lost(*args):
+        raise RuntimeError("lost before the commit")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(log, "publish", lost)
+        with pytest.raises(Exception, match="lost before"):
+            stream()
+    # Both tables were written, neither is seen.
+    assert log.read_log(spark, sink).count() == 0 and log.read_rejected(spark, sink) is None
+    stream()
+    stream()
+    assert bad > 0 and log.read_log(spark, sink).count() == 40 - bad
+    rejected = log.read_rejected(spark, sink).collect()
+    assert len(rejected) == bad and {r.violations[0].field for r in rejected} == {"Age"}
+    assert {r.run for r in rejected} == {"stream-000000000000"}
+
+
+def test_two_writers_and_a_lost_one_leave_whole_runs(spark, hr, tmp_path):
+    path = str(tmp_path / "log")
+    days = lambda n, source: reduce(DataFrame.unionByName, (entries(hr.limit(n), DAY + dt.timedelta(days=d), source) for d in range(3)))
+
+    def write(job):
+        log.append(days(*job), path, job[1])
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, [(5, "a"), (7, "b"), (5, "c"), (7, "d")]))
+    # A writer that is lost while it writes leaves files of some days, and no entry.
+    days(9, "lost").filter("score_date < '2024-05-03'").withColumn("run", F.lit("lost")).write.partitionBy("score_date").parquet(f"{path}/data/attempt=lost")
+    found = {(r.run, r.score_date, r["count"]) for r in log.read_log(spark, path).groupBy("run", "score_date").count().collect()}
+    assert {(run, n) for run, _, n in found} == {("a", 5), ("b", 7), ("c", 5), ("d", 7)} and len(found) == 12
+    assert commits.live(spark, path).select("number").distinct().count() == 4
+    reader = log.read_log(spark, path)
+    assert log.clear(spark, path) == 72
+    assert reader.count() == 72 and log.read_log(spark, path).count() == 0
+    assert log.stored_summary(spark, path).collect() == log.summary(log.read_log(spark, path)).collect()
+
+
+def test_an_entry_is_created_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert [commits.publish(spark, path, {"op": "append", "run": r}) for r in "ab"] == [1, 2]
+    assert not commits._create(spark, f"{path}/commits/000000000002.json", {"token": "x", "op": "clear"})
+    # The empty file of a lost writer takes a number and says nothing.
+    (tmp_path / "log" / "commits" / "000000000003.json").touch()
+    assert commits.publish(spark, path, {"op": "append", "run": "b", "rows": 4}) == 4
+    assert sorted((r.run, r.number) for r in commits.live(spark, path).collect()) == [("a", 1), ("b", 4)]
 
 
 def test_stream_fills_defaults(spark, tmp_path):
