@@ -5,9 +5,9 @@ each shingle gives bin and value; empty bins are filled by optimal densification
 bins in an order of its own until one is filled), so small sets agree in as many bins as
 their similarity says. Bands of bins are buckets. In a bucket only the node that shares
 most is compared with the others, on full sets. Where that leaves a bucket with more than one
-component, further centres from outside its largest component are compared with the
-members of other components, until none is left: no link between members is lost, and a round
-never emits more than a fixed multiple of the rows in its buckets.
+component, its members meet once more in an exact similarity join: shingles in a common order, rarest first, and
+prefix, length and positional filters. So no link between members is lost, and sets that are alike but not
+alike enough, which differ in their rare shingles, are hardly ever paired.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylight.llm.graph import components
@@ -35,14 +35,12 @@ _TRIES = 8192
 @dataclass(frozen=True)
 class Hashing:
     """``words``: per shingle. ``bands`` x ``rows``: bins; a pair at the limit of 0.8 shares no bucket with
-    probability (1 - 0.8 ** rows) ** bands, 4e-7. ``percent``: least similarity. ``centres``: most further
-    centres per bucket and round."""
+    probability (1 - 0.8 ** rows) ** bands, 4e-7. ``percent``: least similarity."""
 
     words: int = 5
     bands: int = 28
     rows: int = 4
     percent: int = 80
-    centres: int = 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -144,7 +142,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, hashing: Hashing) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``linked`` and their distance ``apart`` (1 - similarity), from the full sets."""
+    """``pairs`` (a, b) and whether they are ``linked``, from the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -152,8 +150,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b") - common).alias("either")
     )
     return counted.groupBy("a", "b").agg(
-        F.max(F.col("common") * 100 >= F.col("either") * percent).alias("linked"),
-        F.min(1 - F.col("common") / F.col("either")).alias("apart"),
+        F.max(F.col("common") * 100 >= F.col("either") * percent).alias("linked")
     )
 
 
@@ -179,98 +176,72 @@ def _starred(nodes: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``members`` of buckets that hold several components, with ``component`` and the bucket's ``largest``."""
+    """``node`` and ``component`` of the members of buckets that hold several components."""
     found = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = found.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
-    largest = written(
-        parts.groupBy("bucket")
-        .agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("parts"))
-        .filter("parts > 1")
-        .select("bucket", F.col("most.component").alias("largest")),
-        "largest",
+    found = written(found.select("bucket", "node", "component"), "labelled-members")
+    mixed = found.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    return found.join(written(mixed.select("bucket"), "mixed-buckets"), "bucket", "left_semi").select("node", "component").distinct()
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``gram``, ``node``, ``component``, ``size``, ``pos``, ``first``: the rarest shingles of each set in the order of their
+    frequency, as many as one of them must be shared with any partner that is not larger. ``first`` marks those of
+    which one must be shared with a partner that is not smaller. Shingles of one component only are left out."""
+    size = F.size("grams").alias("size")
+    grams = sets.join(nodes, "node").select("node", "component", size, F.explode("grams").alias("gram"))
+    grams = written(grams, "open-shingles")
+    counted = grams.groupBy("gram").agg(
+        F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    met = grams.join(written(counted, "shingle-counts"), "gram")
+    order = Window.partitionBy("node", "size").orderBy("c", "gram")
+    placed = met.withColumn("pos", F.row_number().over(order)).filter("lo <> hi")
+    share, both = f"(size * {percent} + 99) div 100", f"(size * {2 * percent} + {99 + percent}) div {100 + percent}"
+    kept = placed.filter(f"pos <= size - {share} + 1").withColumn("first", F.expr(f"pos <= size - {both} + 1"))
+    return kept.select("gram", "node", "component", "size", "pos", "first")
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` from different components, among them all that are linked.
+
+    Of two sets the smaller one must share one of its ``first`` shingles, the larger one any of its prefix. What two
+    sets can have in common from a shared shingle on is bounded by what follows it in each."""
+    prefixes = written(_prefixes(nodes, sets, percent), "prefixes")
+    small = prefixes.filter("first").select("gram", *(F.col(c).alias(f"s_{c}") for c in ("node", "component", "size", "pos")))
+    large = prefixes.select("gram", "node", "component", "size", "pos")
+    needed = f"((size + s_size) * {percent} + {99 + percent}) div {100 + percent}"
+    return (
+        small.join(large, "gram")
+        .filter("component <> s_component and (s_size < size or (s_size = size and s_node < node))")
+        .filter(f"s_size * 100 >= size * {percent} and 1 + least(size - pos, s_size - s_pos) >= {needed}")
+        .select(*_pair("node", "s_node"))
+        .distinct()
     )
-    return found.join(largest, "bucket")
-
-
-def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``members`` with ``size`` and ``common`` (shingles that any other set here has), without those that can
-    have no link: what two sets share is at most ``common`` of either."""
-    grams = sets.select("node", F.explode("grams").alias("gram"))
-    frequent = written(grams.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "common-shingles")
-    own = written(grams.join(frequent, "gram").groupBy("node").agg(F.count("*").alias("common")), "common-counts")
-    sizes = sets.select("node", F.size("grams").alias("size")).groupBy("node").agg(F.min("size").alias("size"))
-    able = sizes.join(own, "node").filter(F.col("common") * 100 >= F.col("size") * percent)
-    return members.join(written(able, "linkable"), "node")
 
 
 def links(docs: DataFrame, nodes: DataFrame, hashing: Hashing) -> DataFrame:
     """Components of ``nodes`` (node, buckets): ``node``, ``component`` for every node with a link.
 
-    Round one compares the centre of each bucket with the rest. Later rounds only look at buckets
-    of three and more that still hold several components. Members outside the largest one
-    become centres in turn (one per bucket at first, eight times as many in each further round, up to
-    ``centres``), are compared with members of other components, and retire. The rounds end when every
-    node outside the largest component of its bucket has retired: then all pairs from different
-    components of a bucket have been compared, or need not be.
-
-    A pair need not be compared if its distances from the bucket's first centre differ by more than a
-    link's distance may be (Jaccard distance is a metric), or if either has too few shingles that
-    any other set has; and it is compared in the first bucket that it shares only. These are
-    conditions of the join, so such pairs are never made.
+    The centre of each bucket is compared with the rest. Then members of buckets that still hold several
+    components are joined exactly, and what is linked joins the components.
     """
     members = _starred(nodes)
     stars = members.filter("node <> centre").select(*_pair("centre", "node")).distinct()
     sets = written(_sets(docs, members.select("node").distinct(), hashing), "shingle-sets")
     compared = written(_compared(stars, sets, hashing.percent), "compared")
     labels = written(components(compared.filter("linked").select("a", "b")), "components")
-
-    # What is left to do: members of open buckets, how far each is from the first centre, and its buckets.
-    left = _open(members.filter("n > 2"), labels).select("bucket", "node", "weight", "centre")
-    far = left.select("bucket", "node", "weight", *_pair("centre", "node")).join(compared.select("a", "b", "apart"), ["a", "b"], "left")
-    left = written(far.select("bucket", "node", "weight", F.coalesce("apart", F.lit(0.0)).alias("far")), "open-nodes")
-    sets = written(sets.join(left.select("node").distinct(), "node", "left_semi"), "open-sets")
-    members = written(
-        _linkable(left, sets, hashing.percent).join(nodes.dropDuplicates(["node"]), "node"), "open-members"
-    )
-    limit, retired, turn = 1 - hashing.percent / 100 + 1e-9, None, 0
-    while True:
-        open_ = written(_open(members, labels), "open")
-        others = open_.filter("component <> largest")
-        if retired is not None:
-            others = others.join(retired, ["bucket", "node"], "left_anti")
-        slot = F.pmod(F.xxhash64("node"), F.lit(min(hashing.centres, 8**turn)))
-        heaviest = F.max_by(F.struct("node", "component", "far", "buckets", "size", "common"), F.struct("weight", -F.col("node")))
-        centres = written(others.groupBy("bucket", slot.alias("slot")).agg(heaviest.alias("c")), "centres")
-        if centres.isEmpty():
-            return labels
-        centres = centres.select("bucket", "c")
-        # Two sets of these sizes need so much in common, and cannot have more than either shares with any.
-        enough = F.least("common", "c.common") * (100 + hashing.percent) >= (F.col("size") + F.col("c.size")) * hashing.percent
-        first_shared = F.array_min(F.array_intersect(F.col("buckets"), F.col("c.buckets")))
-        pairs = written(
-            open_.join(centres, "bucket")
-            .filter(
-                (F.col("component") != F.col("c.component"))
-                & (F.abs(F.col("far") - F.col("c.far")) <= limit)
-                & enough
-                & (F.col("bucket") == first_shared)
-            )
-            .select(*_pair("node", "c.node"))
-            .distinct()
-            .join(compared, ["a", "b"], "left_anti"),
-            "pairs",
-        )
-        # Written, so that their size is known when they meet the sets: few pairs need not move any.
-        if not pairs.isEmpty():
-            more = written(_compared(pairs, sets, hashing.percent), "compared")
-            compared = compared.unionByName(more)
-            if not more.filter("linked").isEmpty():
-                # Labels stand for all links so far; new links join them.
-                known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                labels = written(components(known.unionByName(more.filter("linked").select("a", "b"))), "components")
-        now = centres.select("bucket", F.col("c.node").alias("node"))
-        retired = now if retired is None else retired.unionByName(now)
-        turn += 1
+    # In a bucket of two its only pair has been compared.
+    left = written(_open(members.filter("n > 2"), labels), "open-nodes")
+    if left.isEmpty():
+        return labels
+    open_sets = written(sets.join(left.select("node").distinct(), "node", "left_semi"), "open-sets")
+    pairs = written(_prefix_pairs(left, open_sets, hashing.percent).join(compared, ["a", "b"], "left_anti"), "pairs")
+    more = written(_compared(pairs, open_sets, hashing.percent).filter("linked"), "compared")
+    if more.isEmpty():
+        return labels
+    # Labels stand for all links so far; new links join them.
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return written(components(known.unionByName(more.select("a", "b"))), "components")
 
 
 def near_duplicates(docs: DataFrame, hashing: Hashing = Hashing()) -> DataFrame:
@@ -298,6 +269,17 @@ def near_duplicates(docs: DataFrame, hashing: Hashing = Hashing()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, hashing: Hashing = Hashing()) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component, or missing."""
-    dropped = near_duplicates(docs, hashing).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    """One row of each component of ``docs``, all columns: that of the smallest id, rows without an id last.
+
+    Rows are numbered first and compared one by one, so rows that share an id, or have none, stand for
+    themselves: a clean text does not go because a near copy has its id, and a repeated row leaves once.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), hashing)
+    groups = written(found.select(F.col("doc_id").alias(row), "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min_by(row, order).alias(row))
+    return rows.join(written(first.select(row), "representatives"), row, "left_semi").drop(row)

@@ -78,11 +78,50 @@ def test_rounds_find_links_that_stars_miss(make, spark):
         texts.append(" ".join(own))
     docs = make(texts)
     nodes = spark.createDataFrame([(i, [1]) for i in range(len(texts))], "node long, buckets array<long>")
-    for centres in (1, 16):
-        got = {r["node"]: r["component"] for r in nd.links(docs, nodes, nd.Hashing(centres=centres)).collect()}
-        want = {i: c for i, (_, c, _) in brute(list(enumerate(texts)), 5).items()}
-        assert {i: got.get(i, i) for i in range(len(texts))} == want
-        assert len(set(want.values())) > 1
+    got = {r["node"]: r["component"] for r in nd.links(docs, nodes, nd.Hashing()).collect()}
+    want = {i: c for i, (_, c, _) in brute(list(enumerate(texts)), 5).items()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want
+    assert len(set(want.values())) > 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_prefix_join_finds_every_link_around_the_limit(spark, seed):
+    """Sets of all sizes, 0.6 to 0.95 alike, each a component of its own but for one large one."""
+    rng = random.Random(seed)
+    cores = [rng.sample(range(10**6), 60) for _ in range(3)]
+    sets = []
+    for i in range(150):
+        core, size = rng.choice(cores), rng.randint(2, 60)
+        own = set(core[:size])
+        for x in rng.sample(sorted(own), k=rng.randint(0, max(1, size // 4))):
+            own.discard(x)
+            if rng.random() < 0.6:
+                own.add(rng.choice([10**7 + i * 100 + x % 100, 10**8 + x % 5]))
+        sets.append(sorted(own) or [1])
+    nodes = spark.createDataFrame([(i, 0 if i < 20 else i) for i in range(150)], "node long, component long")
+    frame = spark.createDataFrame(list(enumerate(sets)), "node long, grams array<long>")
+    pairs = {(r["a"], r["b"]) for r in nd._prefix_pairs(nodes, frame, 80).collect()}
+    alike = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})
+    linked = {(a, b) for a in range(150) for b in range(max(a + 1, 20), 150) if alike(a, b)}
+    assert linked <= pairs and len(linked) > 20
+    assert not any(b < 20 for _, b in pairs)
+
+
+def test_sets_just_below_the_limit_make_no_pairs(spark):
+    """A thousand sets that share six sevenths of their shingles, 0.75 alike: their rarest ones are their own."""
+    sets = [(i, list(range(60)) + [1000 + 10 * i + k for k in range(10)]) for i in range(1000)]
+    frame = spark.createDataFrame(sets, "node long, grams array<long>")
+    nodes = frame.selectExpr("node", "node as component")
+    assert nd._prefixes(nodes, frame, 80).filter("first").count() == 0
+    assert nd._prefix_pairs(nodes, frame, 80).count() == 0
+
+
+def test_rows_that_share_an_id_stand_for_themselves(make):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    docs = make([(1, words), (1, words), (3, words + " end"), (3, other), (2, words), (None, words), (None, other.replace("v", "u")), (4, None), (4, "")])
+    kept = [tuple(r) for r in nd.representatives(docs).select("doc_id", "text").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, words), (3, other), (None, other.replace("v", "u")), (4, None), (4, "")], key=repr)
 
 
 def test_signatures_agree_as_often_as_sets():
@@ -120,7 +159,8 @@ def test_odd_texts_repeated_and_missing_ids_clashes_and_empty_table(make, odd_te
         else:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"]]
     kept = nd.representatives(docs, nd.Hashing(words=4))
-    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+    groups = {c for _, c, _ in brute([(i, t) for i, (_, t) in enumerate(rows)], 4).values()}
+    assert kept.columns == docs.columns and kept.count() == len(groups)
     assert nd.near_duplicates(docs.limit(0)).count() == 0
 
 
