@@ -56,7 +56,7 @@ def test_cut_queries_are_registered_with_full_sizes_too(spark, monkeypatch):
     class Stop(Exception):
         pass
 
-    def taken(*args):
+    def taken(*args, **_):
         raise Stop(args[-1])
 
     monkeypatch.setattr(library.TR, "train", taken)
