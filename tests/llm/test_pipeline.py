@@ -90,7 +90,8 @@ def test_missing_values_and_empty_tables(spark, sample, make):
         assert stage(spark, odd.limit(0), folder).count() == 0
         assert stage(spark, odd, folder).count() <= 5
     assert cp.line_dedup(spark, odd, folder).count() == 5
-    assert cp.near_dedup(spark, odd, folder).count() == 5
+    # The repeated row leaves once; the row without an id and the two without words stand for themselves.
+    assert cp.near_dedup(spark, odd, folder).count() == 4
 
 
 def test_quality_keeps_all_documents_when_nothing_is_learnt(spark, make, tmp_path):
