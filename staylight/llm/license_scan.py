@@ -6,7 +6,8 @@ template's distinct words. Words are put in one order, rarest in the whole corpu
 first. If a block holds enough of a template, it holds one of the first
 ``size - needed + 1`` words of it (prefix filter), so only such words are joined; blocks with
 too few words (length filter), or too few words left behind the shared one (positional
-filter), are dropped before the exact count.
+filter), are dropped before the exact count. Notices of one family share most of their words, so a block must
+also hold, word after word, the phrases that mark a template's licence (:data:`MARKS`).
 """
 
 from __future__ import annotations
@@ -47,17 +48,44 @@ TEMPLATES = (
     ("proprietary", "Copyright. All rights reserved. Unauthorized copying or distribution is prohibited."),
 )
 
+#: What tells a licence from the others of its family, as words in a row.
+MARKS = {
+    "gpl-3": ("gnu general public license", "version 3"),
+    "gpl-2": ("gnu general public license", "version 2"),
+    "lgpl": ("lesser general public license",),
+    "agpl-3": ("affero general public license", "version 3"),
+    "mpl-2": ("mozilla public license",),
+    "apache-2": ("apache license",),
+    "cc-by-nc": ("by nc",),
+    "cc-by-sa": ("by sa",),
+    "cc-by": ("commons attribution",),
+    "cc0": ("cc0",),
+    "bsd": ("redistribution and use",),
+    "proprietary": ("all rights reserved",),
+}
+#: The two notices of this licence have no phrase in common, so each has its own.
+MIT_MARKS = ("mit license", "permission is hereby granted")
+
+
+def marks_of(label: str, words: list[str]) -> list[str]:
+    """The phrases that a block must hold to carry the label; none for a label without any."""
+    if label == "mit":
+        return [m for m in MIT_MARKS if f" {m} " in f" {' '.join(words)} "]
+    return list(MARKS.get(label, ()))
+
 
 def _tokens(text: Column) -> Column:
     return words_of(ascii_lower(text), TOKEN)
 
 
-def _template_words(spark, templates) -> list[tuple[int, str, list[str]]]:
-    """Number, label and distinct words of each template; as many rows as templates."""
+def _template_words(spark, templates) -> list[tuple[int, str, list[str], list[str]]]:
+    """Number, label, distinct words and marks of each template; as many rows as templates."""
     rows = [(n, label, text) for n, (label, text) in enumerate(templates)]
     frame = spark.createDataFrame(rows, "template int, label string, text string")
-    found = frame.select("template", "label", F.array_distinct(_tokens(F.col("text"))).alias("words"))
-    return [(r["template"], r["label"], r["words"]) for r in found.collect() if r["words"]]
+    found = frame.select("template", "label", _tokens(F.col("text")).alias("words")).collect()
+    return [
+        (r["template"], r["label"], list(dict.fromkeys(r["words"])), marks_of(r["label"], r["words"])) for r in found if r["words"]
+    ]
 
 
 def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -85,14 +113,14 @@ def _stretches(texts: DataFrame, longest: int) -> DataFrame:
         texts.filter(F.contains("text", F.lit("\n")))
         .select("doc_id", F.xxhash64("text").alias("text_hash"), _tokens(F.col("text")).alias("all_words"))
         .select("doc_id", "text_hash", F.posexplode(cut).alias("block", "stretch"))
-        .select("doc_id", "text_hash", (-1 - F.col("block")).alias("block"), F.array_distinct("stretch").alias("words"))
+        .select("doc_id", "text_hash", (-1 - F.col("block")).alias("block"), F.col("stretch").alias("words"))
     )
 
 
 def template_matches(
     docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, wrapped: bool = False
 ) -> DataFrame:
-    """Every (block, template) with ``|block & template| >= threshold * |template|``.
+    """Every (block, template) with ``|block & template| >= threshold * |template|`` whose block holds the template's marks.
 
     ``docs`` has doc_id and text. Returns doc_id, text_hash, block (line number from 0; -1, -2 and so on for
     the stretches of ``wrapped``), label, template, overlap and containment. Missing texts have no blocks.
@@ -101,18 +129,19 @@ def template_matches(
         raise ValueError("threshold must be over 0 and at most 1")
     spark = docs.sparkSession
     known = _template_words(spark, templates)
-    order = word_order(docs, sorted({w for _, _, words in known for w in words}))
+    order = word_order(docs, sorted({w for _, _, words, _ in known for w in words}))
     rank = {w: n for n, w in enumerate(order)}
     prefixes, rows = set(), []
-    for number, label, words in known:
+    for number, label, words, marks in known:
         needed = max(1, math.ceil(round(threshold * len(words), 9)))
         ranked = sorted(words, key=rank.__getitem__)
         for i, word in enumerate(ranked[: len(words) - needed + 1]):
             prefixes.add(word)
-            rows.append((word, number, label, i, needed, ranked))
+            rows.append((word, number, label, i, needed, ranked, marks))
     table = spark.createDataFrame(
-        rows, "word string, template int, label string, at int, needed int, template_words array<string>"
+        rows, "word string, template int, label string, at int, needed int, template_words array<string>, marks array<string>"
     )
+    every_mark = F.array(*[F.lit(m) for m in sorted({m for _, _, _, marks in known for m in marks})]).cast("array<string>")
     rare = F.array(*[F.lit(w) for w in sorted(prefixes, key=rank.__getitem__)])
     ordered = F.array(*[F.lit(w) for w in order])
 
@@ -120,23 +149,29 @@ def template_matches(
     found = (
         texts
         .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-        .select("doc_id", "text_hash", "block", F.array_distinct(_tokens(F.col("line"))).alias("words"))
+        .select("doc_id", "text_hash", "block", _tokens(F.col("line")).alias("words"))
     )
     if wrapped and known:
-        found = found.unionByName(_stretches(texts, max(len(words) for _, _, words in known)))
+        found = found.unionByName(_stretches(texts, max(len(words) for _, _, words, _ in known)))
     blocks = (
         found
         .filter(F.arrays_overlap("words", rare))
         # The block's words that any template has, rarest first.
         .select(
-            "doc_id", "text_hash", "block", F.size("words").alias("n_block"),
+            "doc_id", "text_hash", "block", F.size(F.array_distinct("words")).alias("n_block"),
             F.array_intersect(ordered, "words").alias("shared"),
+            # Bound to a variable, so that the words are joined once and not once per mark.
+            F.transform(
+                F.array(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))),
+                lambda t: F.filter(every_mark, lambda m: F.contains(t, F.concat(F.lit(" "), m, F.lit(" ")))),
+            )[0].alias("held"),
         )
     )
     candidates = (
         blocks.withColumn("word", F.explode(F.array_intersect("shared", rare)))
         .join(table, "word")
         .filter(F.col("n_block") >= F.col("needed"))
+        .filter(F.size(F.array_except("marks", "held")) == 0)
         .filter(
             1 + F.least(
                 F.size("template_words") - F.col("at") - 1,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from staylight.llm.license_scan import PHRASES, TEMPLATES, TOKEN
+import re
+
+from staylight.llm.license_scan import PHRASES, TEMPLATES, TOKEN, marks_of
 from staylight.llm.line_rules import BOILERPLATE, LINE_ENDS, WINDOW, LineRules
 
 OP1_WARC = """
@@ -119,7 +121,10 @@ def _license_scan() -> str:
             f"lambda i: words[i + 1:i + {len(parts)}] = {_list(parts)})"
         )
     labels = " || ".join(f"CASE WHEN len(at{n}) > 0 THEN [{_text(k)}] ELSE [] END" for n, k in enumerate(PHRASES))
-    rows = ", ".join(f"({_text(label)}, {_text(text.lower())})" for label, text in TEMPLATES)
+    rows = ", ".join(
+        f"({_text(label)}, {_text(text.lower())}, {_list(marks_of(label, re.findall(TOKEN, text.lower())))})"
+        for label, text in TEMPLATES
+    )
     return rf"""
 WITH w AS (
     SELECT doc_id, {_LOWER} AS low, regexp_extract_all({_LOWER}, '{TOKEN}') AS words FROM documents
@@ -128,12 +133,13 @@ WITH w AS (
 ), base AS (
     SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, at0 || at1 || at2 AS starts, {labels} AS named FROM placed
 ), template AS (
-    SELECT label, list_distinct(regexp_extract_all(text, '{TOKEN}')) AS want FROM (VALUES {rows}) AS t(label, text)
+    SELECT label, marks, list_distinct(regexp_extract_all(text, '{TOKEN}')) AS want FROM (VALUES {rows}) AS t(label, text, marks)
 ), block AS (
-    SELECT doc_id, list_distinct(regexp_extract_all(line, '{TOKEN}')) AS have
-    FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM w)
+    SELECT doc_id, list_distinct(words) AS have, ' ' || array_to_string(words, ' ') || ' ' AS in_a_row
+    FROM (SELECT doc_id, regexp_extract_all(unnest(string_split(low, chr(10))), '{TOKEN}') AS words FROM w)
 ), met AS (
     SELECT doc_id, label, len(list_intersect(have, want)) AS n, len(want) AS size FROM block, template
+    WHERE len(list_filter(marks, lambda m: NOT contains(in_a_row, ' ' || m || ' '))) = 0
 ), found AS (
     SELECT doc_id, list(DISTINCT label) AS more, max(n::DOUBLE / size) AS best
     FROM met WHERE n >= ceil(round(0.8::DOUBLE * size, 9)) GROUP BY doc_id

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from staylight.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, template_matches, word_order
+from staylight.llm.license_scan import MARKS, PHRASES, TEMPLATES, scan_licenses, template_matches, word_order
 from staylight.llm.queries import op10_license_scan
 
 
@@ -23,10 +23,12 @@ def brute(text, templates=TEMPLATES, threshold=0.8):
     ]
     best = {}
     for line in (text or "").split("\n"):
-        have = set(tokens(line))
+        have, held = set(tokens(line)), f" {' '.join(tokens(line))} "
         for label, template in templates:
-            want = set(tokens(template))
-            if want and len(want & have) >= max(1, math.ceil(round(threshold * len(want), 9))):
+            want, marks = set(tokens(template)), MARKS.get(label, ())
+            if label == "mit":
+                marks = ["mit license" if "mit" in want else "permission is hereby granted"]
+            if want and all(f" {m} " in held for m in marks) and len(want & have) >= max(1, math.ceil(round(threshold * len(want), 9))):
                 best[label] = max(best.get(label, 0), len(want & have) / len(want))
     base = {label for _, label in places}
     starts = [i for i, _ in places]
@@ -58,6 +60,21 @@ def test_odd_texts(make, odd_texts):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_each_notice_has_its_own_label_alone(make):
+    others = {
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Released under the BSD License.": "",
+        "Dieser Text wird mit der Lizenz released under the License.": "",
+        "This program is licensed under the GNU Lesser General Public License, version 3": "lgpl",
+        "This work is licensed under the GNU General Public License, version 3, by the authors": "gpl-3",
+        "This program is free software: GNU General Public License, version 2, under is the": "gpl-2",
+    }
+    texts = [t for _, t in TEMPLATES] + list(others)
+    for wrapped in (False, True):
+        got = {r["doc_id"]: r["labels"] for r in scan_licenses(make([f"One.\n{t}\nTwo." for t in texts]), wrapped=wrapped).collect()}
+        want = [label for label, _ in TEMPLATES] + list(others.values())
+        assert [got[i] for i in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
 def test_join_is_exact_at_any_threshold(make, threshold):
     words = "a b c d e f g h".split()
