@@ -1,4 +1,6 @@
-"""Repeated runs of words, found through minimizers and removed where they come again.
+"""Repeated lines and runs of words, found through window minima and removed where they come again.
+
+A whole line (between line breaks) of ``Runs.line`` words or more that stands earlier as a whole line is cut.
 
 Every window of ``Runs.words`` words that stands earlier in the corpus (by document id, then
 place) is repeated; what such windows cover is cut, to the word, wherever sentences end. Windows are
@@ -36,9 +38,11 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 @dataclass(frozen=True)
 class Runs:
-    """``words``: fewest words of a run that is deleted."""
+    """``words``: fewest words of a run that is deleted wherever it begins. ``line``: fewest words of a whole line
+    that is deleted though it is shorter."""
 
     words: int = 20
+    line: int = 8
 
 
 def lines_of(text: str) -> list[str]:
@@ -69,12 +73,17 @@ class _Words:
     case; folding it makes no white space, so whole texts are folded at once."""
 
     def __init__(self, texts: list[str | None]):
-        words, counts = [], []
+        words, counts, lines = [], [], []
         for text in texts:
-            found = text.casefold().split() if text else []
-            words += found
-            counts.append(len(found))
+            before = len(words)
+            for line in text.casefold().split("\n") if text else ():
+                found = line.split()
+                words += found
+                lines.append(len(found))
+            counts.append(len(words) - before)
         self.counts = np.array(counts, np.int64)
+        #: Words of each line, text after text.
+        self.lines = np.array(lines, np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         self.owner = np.repeat(np.arange(len(counts)), self.counts)
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -90,6 +99,15 @@ class _Words:
         return np.flatnonzero(self.owner[:m] == self.owner[n - 1 :]) if m > 0 else np.zeros(0, np.int64)
 
 
+def _whole_lines(words: _Words, runs: Runs) -> tuple[np.ndarray, ...]:
+    """Whole lines too short for a window, in the form of :func:`_segments`; each is a piece of its own."""
+    starts = np.cumsum(words.lines) - words.lines
+    short = (words.lines >= runs.line) & (words.lines < runs.words)
+    start, size = starts[short], words.lines[short]
+    owner, value = words.owner[start], words.stretch(start, size)
+    return owner, start - words.starts[owner], size, _mixed(value, 3), value
+
+
 def _segments(words: _Words, n: int) -> tuple[np.ndarray, ...]:
     """Text number, place, words, piece and hash of each segment of windows of ``n`` words.
 
@@ -147,7 +165,9 @@ def _prints(docs: DataFrame, runs: Runs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                owner, place, size, piece, value = _segments(_Words(part.column(1).to_pylist()), runs.words)
+                words = _Words(part.column(1).to_pylist())
+                found = zip(_segments(words, runs.words), _whole_lines(words, runs))
+                owner, place, size, piece, value = (np.concatenate(both) for both in found)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(owner)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)),
@@ -213,8 +233,8 @@ def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
     Ids must be unique. What is counted is written before it is joined, so that joins get both sides
     freshly dealt and Spark can split a hot piece or content. A segment that is not the first
     of its content is repeated in all its windows. Of the others those whose piece has
-    several contents may share some windows; there the windows are compared themselves. A
-    document's spans are at most as many as its words.
+    several contents may share some windows; there the windows are compared themselves. Lines have only one content
+    to a piece. A document's spans are at most twice as many as its words.
     """
     prints = _prints(docs, runs)
     pieces = written(prints.groupBy("piece").agg(F.count("*").alias("c")).filter("c > 1").select("piece"), "repeated-pieces")
@@ -229,55 +249,87 @@ def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
 
 
 def cut_runs(text: str, spans: list[tuple[int, int]] | np.ndarray, least: int) -> tuple[str, int, int]:
-    """The text without its runs of at least ``least`` words; the logical lines (they end after a line
-    break or a sentence) that lost words, run by run, and the words removed.
+    """The text without what ``spans`` cover: runs of at least ``least`` words, and whole lines, which are shorter. Also
+    the logical lines (they end after a line break or a sentence) that lost words, run by run, and the
+    words removed.
 
     Where a run repeats words just before it that it overlaps (a word or phrase over and over), the first
     ``least`` words of the repetition stay, as they are the first occurrence."""
     words = lines_of(text)
     ends = np.array(spans, np.int64).reshape(-1, 2)
-    covered = np.bincount(ends[:, 0], minlength=len(words) + 1) - np.bincount(ends[:, 1], minlength=len(words) + 1)
-    inside = covered.cumsum()[:-1] > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-    removed_lines = removed_words = 0
-    kept, last = [], 0
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        if b - a < least:
-            continue
+    whole = ends[:, 1] - ends[:, 0] < least
+    gone = _covered(ends[whole], len(words))
+    for a, b in _stretches(_covered(ends[~whole], len(words))):
         near = [x.casefold().strip() for x in words[max(0, a - least + 1) : a + least]]
         own = len(near) - least
         for d in range(1, own + 1):
             if near[own - d : len(near) - d] == near[own:]:
                 a += least - d
                 break
-        if a < b:
-            gone = "".join(words[a:b])
-            kept += words[last:a]
-            last = b
-            removed_lines, removed_words = removed_lines + len(lines_in(gone)), removed_words + b - a
+        gone[a:b] = True
+    removed_lines = removed_words = 0
+    kept, last = [], 0
+    for a, b in _stretches(gone):
+        kept += words[last:a]
+        last = b
+        removed_lines, removed_words = removed_lines + len(lines_in("".join(words[a:b]))), removed_words + b - a
     return "".join(kept + words[last:]), removed_lines, removed_words
 
 
+def _covered(spans: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words lie in a span."""
+    return (np.bincount(spans[:, 0], minlength=n + 1) - np.bincount(spans[:, 1], minlength=n + 1)).cumsum()[:n] > 0
+
+
+def _stretches(inside: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 def lines_in(text: str) -> list[str]:
     """Logical lines."""
     return _LINE.findall(text.strip())
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a ``key`` of its own for every row: the id; for later rows of an id, and rows without one, a
+    number behind all ids."""
+    of_id = F.col("doc_id").cast("long")
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(key, of_id)
+    # A running number is only lasting once it is written.
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-rows")
+    number = F.col(key)
+    ids = rows.filter(of_id.isNotNull()).groupBy(of_id.alias("of")).agg(F.min(number).alias("first"), F.count("*").alias("n"))
+    ids = written(ids, "ids")
+    behind = ids.agg(F.coalesce(F.max("of"), F.lit(0)) + 1).first()[0]
+    # Rows without an id meet nothing, so they are spread by their number.
+    met = rows.select(
+        of_id.alias("id"), number.alias("number"), F.coalesce(of_id, F.xxhash64(number)).alias("by"),
+        F.struct(*[rows[c] for c in docs.columns]).alias("row"),
+    ).join(ids.filter("n > 1"), F.col("by") == F.col("of"), "left")
+    odd = F.col("id").isNull() | F.coalesce(F.col("first") != F.col("number"), F.lit(False))
+    own = F.when(odd, F.col("number") + behind).otherwise(F.col("id"))
+    return written(met.select(*[F.col("row")[c].alias(c) for c in docs.columns], own.alias(key)), "keyed-rows")
+
+
 def without_repeats(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
     """``docs`` (all columns) with runs cut out of ``text``, plus ``removed_lines`` and ``removed_words``.
 
-    The first occurrence of anything stays. Missing and empty texts stay as they are. Rows
-    whose id is missing or not unique cannot be ordered: they stay as they are and do not
-    count as earlier text. Within one text, later repeats of a run go too.
+    The first occurrence of anything stays. Missing and empty texts stay as they are. Within one text, later
+    repeats of a run go too. Every row is a text of its own: rows without an id, and rows after the first of
+    an id, come after all others, in the order in which they are read.
     """
-    names = [c for c in docs.columns]
+    names = list(docs.columns)
     at = names.index("text")
-    repeated_ids = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    unique = docs if repeated_ids.isEmpty() else docs.join(repeated_ids, "doc_id", "left_anti")
-    spans = repeated_spans(unique, runs).select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
-    if unique is not docs:
-        spans = spans.join(repeated_ids, spans["_of"] == repeated_ids["doc_id"], "left_anti")
-    met = docs.join(spans, docs["doc_id"] == spans["_of"], "left").select(*[docs[c] for c in names], "_spans")
+    key = "_key"
+    while key in names:
+        key += "_"
+    rows = _keyed(docs, key)
+    spans = repeated_spans(rows.select(F.col(key).alias("doc_id"), "text"), runs).select(
+        F.col("doc_id").alias("_of"), F.col("spans").alias("_found")
+    )
+    met = rows.join(spans, rows[key] == spans["_of"], "left").select(*[rows[c] for c in names], spans["_found"])
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("removed_lines", T.LongType()), T.StructField("removed_words", T.LongType())]
     )

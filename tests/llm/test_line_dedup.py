@@ -8,39 +8,48 @@ from staylight.llm.queries import op3_line_dedup
 RUNS = ld.Runs(words=12)
 
 
-def norm(line):
-    return line.casefold().strip()
-
-
-def brute(texts, least):
-    """By the definition: each gram (and long line) looks for its first occurrence; a match
-    reaches as far as the lines agree, one line beyond the fingerprint on either side."""
-    seen, out = {}, {}
+def brute(texts, least, line=8):
+    """From the words alone: every window of ``least`` words, and every shorter whole line, that stands earlier is cut.
+    Returns the words left of each text and how many were cut."""
+    windows, lines, out = set(), set(), {}
     for i, text in sorted(texts.items()):
-        lines = ld.lines_of(text or "")
-        keys = [norm(x) for x in lines]
-        place, size, *_ = ld.fingerprints(text or "", ld.Runs(least))
-        spans = []
-        for p, n in zip(place.tolist(), size.tolist()):
-            key = (n, *keys[p : p + n])
-            if key in seen:
-                other, q = seen[key]
-                back = int(p > 0 and q > 0 and other[q - 1] == keys[p - 1])
-                on = int(p + n < len(keys) and q + n < len(other) and other[q + n] == keys[p + n])
-                spans.append((p - back, p + n + on))
-            else:
-                seen[key] = (keys, p)
-        out[i] = ld.cut_runs(text, spans, least) if text else (text, 0, 0)
+        folded, gone, at = (text or "").casefold().split(), set(), 0
+        for p in range(len(folded) - least + 1):
+            window = tuple(folded[p : p + least])
+            if window in windows:
+                gone.update(range(p, p + least))
+            windows.add(window)
+        # A word or phrase over and over: the first window of it is the first occurrence, and stays.
+        for a in sorted(k for k in gone if k - 1 not in gone):
+            for d in range(1, min(least - 1, a) + 1):
+                if folded[a - d : a - d + least] == folded[a : a + least]:
+                    gone -= set(range(a, a - d + least))
+                    break
+        for one in (text or "").casefold().split("\n"):
+            one = tuple(one.split())
+            if line <= len(one) < least:
+                if one in lines:
+                    gone.update(range(at, at + len(one)))
+                lines.add(one)
+            at += len(one)
+        out[i] = [w for k, w in enumerate((text or "").split()) if k not in gone], len(gone)
     return out
 
 
+def left(frame):
+    return {r["doc_id"]: ((r["text"] or "").split(), r["removed_words"]) for r in frame.collect()}
+
+
 def results(frame):
     return {r["doc_id"]: (r["text"], r["removed_lines"], r["removed_words"]) for r in frame.collect()}
 
 
 def test_query_equals_brute_force(spark, sample):
     folder, docs = sample
-    assert results(op3_line_dedup(spark, folder)) == brute(dict(docs), 20)
+    found = op3_line_dedup(spark, folder)
+    assert left(found) == brute(dict(docs), 20)
+    texts = dict(docs)
+    assert all(t == texts[i] for i, (t, _, words) in results(found).items() if not words)
 
 
 @pytest.fixture(scope="module")
@@ -61,8 +70,9 @@ def planted():
 
 def test_passages_go_where_they_come_again(make, planted):
     texts, passages = planted
-    got = results(ld.without_repeats(make(texts), RUNS))
-    assert got == brute(dict(enumerate(texts)), 12)
+    frame = ld.without_repeats(make(texts), RUNS)
+    got = results(frame)
+    assert left(frame) == brute(dict(enumerate(texts)), 12)
     for k, passage in enumerate(passages):
         holders = [i for i in range(40) if i % 2 and i % 5 == k]
         inner = " ".join(passage.split()[10:-10])
@@ -109,7 +119,7 @@ def test_odd_texts_repeated_and_missing_ids_clashes_and_empty_table(make, odd_te
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r["text"])
-    assert by[50] == [line] and by[51] == [line, line] and by[None] == [line] and by[52] == [""] and by[53] == ["other."]
+    assert by[50] == [line] and by[51] == ["", ""] and by[None] == [""] and by[52] == [""] and by[53] == ["other."]
     assert by[0] == [None] and by[1] == [""]
     assert ld.without_repeats(docs.limit(0), RUNS).count() == 0
 
@@ -142,3 +152,27 @@ def test_every_repeated_window_goes_wherever_sentences_end(make):
     assert {i: t.split() for i, (t, _, _) in got.items()} == want
     assert [len(want[i]) for i in range(6)] == [52, 35, 55, 24, 20, 2]
     assert got[2][2] == 60 and got[3][2] == 41 and got[5][2] == 70
+
+
+def test_whole_lines_go_where_they_come_again(make):
+    line, other = "nine plain words stand on this one short line", "a second line that has nine words in it"
+    texts = {i: f"w{i} x{i} y{i}\n{line}\nz{i}" for i in range(30)}
+    texts |= {40: f"{line}\n" * 4 + other, 41: f"{other}\n{line.upper()} and more", 42: "only six words in this line\n" * 2}
+    frame = ld.without_repeats(make(list(texts.items())))
+    got = results(frame)
+    assert got[0] == (texts[0], 0, 0) and all(got[i][0].split() == [f"w{i}", f"x{i}", f"y{i}", f"z{i}"] for i in range(1, 30))
+    assert got[40] == ("\n" + other, 4, 36) and got[42] == (texts[42], 0, 0)
+    assert got[41][0].strip() == f"{line.upper()} and more"
+
+
+def test_every_row_is_a_text_of_its_own(make):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    same, clean = text(), text()
+    docs = make([(1, same), (2, same), (2, same), (None, same), (3, same), (3, clean), (3, clean), (None, None), (-4, text())])
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in ld.without_repeats(docs).collect())
+    assert [t for _, t in got].count(same) == 1 and (1, same) in got
+    assert [t for _, t in got].count(clean) == 1 and (3, clean) in got
+    assert len(got) == 9
+    only = make([(None, same), (None, same)])
+    assert sorted(r["text"] for r in ld.without_repeats(only).collect()) == ["", same]
