@@ -3,7 +3,8 @@
 A test item with budget k is cut into k + 1 pieces. At most k edits leave one piece whole,
 so a passage within the budget holds some piece exactly (pigeonhole). Pieces are sought
 with one automaton; around each hit the item is verified with Myers' bit-parallel edit
-distance, so nothing within the budget is missed and nothing beyond it reported.
+distance, so nothing within the budget is missed and nothing beyond it reported. Short items
+have no budget: they are sought as they are, as whole words.
 
 Texts are compared in lower case, with runs of ASCII punctuation and white space as one
 blank, and distances are counted in UTF-8 bytes of that form.
@@ -25,11 +26,14 @@ from staylight.workspace import written
 
 _BLANKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
+#: The place of a piece that is a whole short item.
+_WHOLE = -1
+
 
 @dataclass(frozen=True)
 class Matching:
-    """``budget``: bytes of an item per edit allowed. ``least``: shortest item sought; anything
-    shorter cannot be told from ordinary text. ``block_bytes``: most item text that one
+    """``budget``: bytes of an item per edit allowed. ``least``: an item with fewer bytes
+    is found only as whole words without an edit. ``block_bytes``: most item text that one
     automaton holds and one broadcast carries; more items take further passes."""
 
     budget: int = 32
@@ -84,6 +88,9 @@ class Finder:
         self.masks: dict[int, dict[str, int]] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for number, (_, item) in enumerate(items):
+            if len(item) < matching.least:
+                places.setdefault(f" {item} ", []).append((number, _WHOLE))
+                continue
             for at, piece in cut(item, len(item) // matching.budget):
                 places.setdefault(piece, []).append((number, at))
         self.automaton = ahocorasick.Automaton()
@@ -99,10 +106,15 @@ class Finder:
             return []
         best: dict[int, int] = {}
         tried: set[tuple[int, str]] = set()
-        for end, (length, where) in self.automaton.iter(text):
+        # Blanks around the text let short items stand at its edges; places count without the first one.
+        for end, (length, where) in self.automaton.iter(f" {text} "):
+            end -= 1
             for number, at in where:
                 if best.get(number) == 0:
                     continue
+                if at == _WHOLE:
+                    best[number] = 0
+                    continue
                 item = self.items[number][1]
                 edits = len(item) // self.matching.budget
                 begin = end + 1 - length - at
@@ -127,7 +139,7 @@ def _blocks(benchmark: DataFrame, matching: Matching) -> Iterator[list[tuple[int
     rows = benchmark.select("item_id", plain_text().alias("text")).filter("item_id is not null").distinct()
     for row in rows.toLocalIterator():
         item = plain(row["text"])
-        if len(item) < matching.least:
+        if not item:
             continue
         if block and size + len(item) > matching.block_bytes:
             yield block
@@ -145,7 +157,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matchi
     """``docs`` (all columns) with ``_hits``: the items found in each whole text, each with its distance.
 
     Missing and empty texts have none; every row is searched by itself. ``benchmark`` has item_id and
-    text; items without an id, and those shorter than ``matching.least`` bytes, are not
+    text; items without an id, and those without a letter or digit, are not
     sought. Items go in blocks of bounded size, each a pass over the documents; a pass is
     written before the next begins, and almost always there is one.
     """

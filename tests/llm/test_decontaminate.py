@@ -22,7 +22,10 @@ def brute(text, items, matching):
     out = {}
     for number, raw in items:
         item = dc.plain(raw or "")
-        if number is not None and len(item) >= matching.least:
+        if number is not None and 0 < len(item) < matching.least:
+            if f" {item} " in f" {dc.plain(text or '')} ":
+                out[number] = 0
+        elif number is not None and item:
             d = distance(item, dc.plain(text or ""))
             if d <= len(item) // matching.budget:
                 out[number] = d
@@ -34,8 +37,8 @@ def planted():
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdeéo", k=rng.randint(1, 7))) for _ in range(60)]
     prose = lambda k: " ".join(rng.choices(words, k=k))
-    items = [(i, prose(14)) for i in range(8)] + [(90, "ab"), (91, None), (None, prose(14)), (92, prose(3) * 3)]
-    texts = [None, "", prose(80)]
+    items = [(i, prose(14)) for i in range(8)] + [(90, "ab"), (93, "Zebra, crossing?"), (94, "!?"), (91, None), (None, prose(14)), (92, prose(3) * 3)]
+    texts = [None, "", prose(80), "ab", "cab abc", "the zebra crossing", "zebra crossings", "A zebra\n-- crossing: ab"]
     for i, item in items[:8]:
         for edits in range(0, 7):
             chars = list(item.upper().replace(" ", ", ", 3) if i % 2 else item)
