@@ -604,7 +604,7 @@ ORDER BY attrition_rate DESC, ord, position LIMIT 8"""
         + [f"SELECT {q(c)}, 'number', CAST(NULL AS VARCHAR), median(CAST({c} AS DOUBLE)) FROM docs"
            for c in DOCUMENTS.model_numerics]
     )
-    return {
+    found = {
         "account_panel": f"WITH {PANEL} SELECT * FROM panel",
         "document_panel": f"WITH {DOC_PANEL} SELECT * FROM docs",
         # cleaning and contracts
@@ -709,3 +709,18 @@ SELECT "row", CAST(account_id AS VARCHAR) AS account_id, 'tier' AS field, 'unkno
         "r1_streamed_rejects": f"WITH {PANEL} SELECT account_id, 'tier' AS field, 'unknown category' AS rule, 'Platinum' AS value FROM panel WHERE segment = 'BUILDING'",
         "r2_streamed_summary": f"WITH {LOG} {LOG_SUMMARY}",
     }
+    # The tables of the stored report are those of the operators.
+    stored = {
+        "kpis": "a1_kpis", "segments": "a5_risk_segments", "headlines": "f12_headlines", "roster": "t1_roster",
+        "tenure_histogram": "a4_tenure_histogram", "spend_histogram": "a4_spend_histogram",
+    }
+    found |= {f"s5_stored_{table}": found[name] for table, name in stored.items()}
+    entry = "count(*) FILTER (WHERE tier = 'Entry')"
+    states = {
+        "nothing made": ("TRUE", "count(*)"), "made": ("FALSE", "count(*)"), "added": ("TRUE", f"count(*) + {entry}"),
+        "made again": ("FALSE", f"count(*) + {entry}"),
+        "removed": ("TRUE", "count(*) FILTER (WHERE segment <> 'BUILDING') + count(*) FILTER (WHERE tier = 'Entry' AND segment <> 'BUILDING')"),
+    }
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS state, {stale} AS stale, {n} AS input_rows FROM panel" for k, (stale, n) in states.items())
+    found["s11_staleness"] = f"WITH {PANEL} {rows}"
+    return found

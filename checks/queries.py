@@ -35,6 +35,7 @@ from staylight.operators.ordering import stratified_folds
 from staylight.operators.quality import quality_checks
 from staylight.operators.typical import typical_entity, typical_table
 from staylight.plans import training as TR
+from staylight.plans.analysis import write_analysis
 from staylight.plans.batch import Batch, score_batch
 from staylight.scorecards import ACCOUNT_SCORECARD
 from staylight.sources import files, log, store
@@ -511,10 +512,48 @@ def m11_rows_without_own_ids(spark, sf):
     return found.groupBy(ID).agg(F.count("*").alias("n"), F.count_if("will_leave").alias("flagged"))
 
 
-def s5_stored_breakdowns(spark, sf):
+@functools.cache
+def _report(spark: SparkSession, sf: str) -> str:
+    """The folder of a whole stored report, written once for all queries that read its tables back."""
     folder = new_path(spark, "analysis")
-    store.write_tables({"breakdowns": B.breakdowns(enriched(spark, sf), SPEC)}, folder)
-    return store.read_tables(spark, folder, "breakdowns")["breakdowns"]
+    histograms = {
+        "tenure_histogram": ("tenure_years", (0, 2, 3, 4), "{low}-{high}y"),
+        "spend_histogram": ("monthly_spend", (5000, 10000, 15000, 20000), "{low}-{high}"),
+    }
+    write_analysis(panel(spark, sf), SPEC, folder, histograms, sf)
+    return folder
+
+
+def _stored(name: str) -> Query:
+    return lambda spark, sf: store.read_tables(spark, _report(spark, sf), name)[name]
+
+
+def s11_staleness(spark, sf):
+    """Whether a stored table is stale in each state of its input, decided by the input's fingerprint."""
+    data, folder, found = new_path(spark, "input"), new_path(spark, "report"), []
+    record = f"{folder}/input"
+    rows = written(panel(spark, sf), "panel")
+    rows.write.partitionBy("segment").parquet(data)
+
+    def make() -> None:
+        store.write_tables({"kpis": B.kpis(engineer(spark.read.parquet(data), SPEC), SPEC)}, folder)
+        files.record_input(spark, data, record)
+
+    def state(name: str) -> None:
+        stale = files.outputs_are_stale(spark, data, f"{folder}/kpis", record=record)
+        found.append((name, stale, spark.read.parquet(data).count()))
+
+    state("nothing made")
+    make()
+    state("made")
+    rows.filter("tier = 'Entry'").write.mode("append").partitionBy("segment").parquet(data)
+    state("added")
+    make()
+    state("made again")
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{data}/segment=BUILDING")
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    state("removed")
+    return spark.createDataFrame(found, "state string, stale boolean, input_rows long")
 
 
 def s8_exported_ranking(spark, sf):
@@ -654,7 +693,14 @@ def queries() -> dict[str, Query]:
         "m11_explained": m11_explained,
         "m11_fitted_explained": m11_fitted_explained,
         "s3_score_file": s3_score_file,
-        "s5_stored_breakdowns": s5_stored_breakdowns,
+        "s5_stored_breakdowns": _stored("breakdowns"),
+        "s5_stored_kpis": _stored("kpis"),
+        "s5_stored_segments": _stored("risk_segments"),
+        "s5_stored_headlines": _stored("headlines"),
+        "s5_stored_roster": _stored("roster"),
+        "s5_stored_tenure_histogram": _stored("tenure_histogram"),
+        "s5_stored_spend_histogram": _stored("spend_histogram"),
+        "s11_staleness": s11_staleness,
         "s6_metric_tables": s6_metric_tables,
         "s7_reloaded_model": s7_reloaded_model,
         "s8_exported_ranking": s8_exported_ranking,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from staylight.operators import breakdowns as B
 from staylight.operators.features import engineer
 from staylight.operators.headlines import headlines
+from staylight.sources.files import record_input
 from staylight.sources.store import read_tables, write_tables
 from staylight.spec import PanelSpec
 
@@ -44,11 +45,12 @@ def insight_tables(
 
 
 def write_analysis(
-    df: DataFrame, spec: PanelSpec, folder: str, histograms: Mapping | None = None
+    df: DataFrame, spec: PanelSpec, folder: str, histograms: Mapping | None = None, input_path: str | None = None
 ) -> list[str]:
     """Compute and store every table; the panel is prepared once and read by all of them.
 
-    KPIs and breakdowns are stored first, and what follows from them reads the stored tables."""
+    KPIs and breakdowns are stored first, and what follows from them reads the stored tables. With ``input_path``
+    the fingerprint of those files is stored last, as ``folder/input``."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         enriched = engineer(df, spec)
@@ -59,4 +61,6 @@ def write_analysis(
         write_tables({k: v for k, v in tables.items() if k not in first}, folder)
     finally:
         df.unpersist()
+    if input_path is not None:
+        record_input(df.sparkSession, input_path, f"{folder}/input")
     return list(tables)

@@ -132,8 +132,17 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(f"{total['n']}:{total['sum']}".encode()).hexdigest()[:24]
 
 
-def outputs_are_stale(spark: SparkSession, input_path: str, *output_paths: str) -> bool:
-    """True when an output is missing or older than the newest input file."""
+def record_input(spark: SparkSession, input_path: str, record: str) -> None:
+    """Store the input's fingerprint beside what was made of it."""
+    spark.createDataFrame([(fingerprint(spark, input_path),)], "input string").write.mode("overwrite").parquet(record)
+
+
+def outputs_are_stale(spark: SparkSession, input_path: str, *output_paths: str, record: str | None = None) -> bool:
+    """True when an output is missing, or the input is not what the outputs were made of.
+
+    With ``record`` (see :func:`record_input`) fingerprints decide, so files that were removed or put back with an
+    older time count, and a missing record is stale. Without it the newest input file is
+    compared with the outputs' times. An input that is gone makes nothing stale."""
     made = []
     for path in output_paths:
         try:
@@ -143,7 +152,15 @@ def outputs_are_stale(spark: SparkSession, input_path: str, *output_paths: str)
     if any(w is None for w in made):
         return True
     try:
-        newest = modified_at(spark, input_path).first()[0]
+        if record is not None:
+            now = fingerprint(spark, input_path)
+        else:
+            newest = modified_at(spark, input_path).first()[0]
     except AnalysisException:
         return False
-    return newest is not None and any(w < newest for w in made)
+    if record is None:
+        return newest is not None and any(w < newest for w in made)
+    try:
+        return spark.read.schema("input string").parquet(record).first()["input"] != now
+    except AnalysisException:
+        return True

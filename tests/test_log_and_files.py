@@ -188,6 +188,25 @@ def test_stale_outputs(spark, tmp_path):
     assert not files.outputs_are_stale(spark, str(tmp_path / "gone"), str(out))
 
 
+def test_stale_by_fingerprint(spark, tmp_path):
+    data, out, record = tmp_path / "data", tmp_path / "out", str(tmp_path / "record")
+    data.mkdir(), out.mkdir()
+    for name in "ab":
+        (data / f"{name}.csv").write_text("x\n1\n")
+    (out / "r").write_text("done")
+    stale = lambda: files.outputs_are_stale(spark, str(data), str(out), record=record)
+    assert stale()
+    files.record_input(spark, str(data), record)
+    assert not stale()
+    # Put back with an older time: no output is older than it, yet it is another file.
+    os.utime(data / "a.csv", (1_000_000, 1_000_000))
+    assert stale() and not files.outputs_are_stale(spark, str(data), str(out))
+    files.record_input(spark, str(data), record)
+    (data / "b.csv").rename(tmp_path / "b.csv")
+    assert stale()
+    assert not files.outputs_are_stale(spark, str(tmp_path / "gone"), str(out), record=record)
+
+
 def test_load_clean_formats(spark, hr, tmp_path):
     path = str(tmp_path / "p")
     hr.unionByName(hr.withColumn("Attrition", F.lit("Yes"))).withColumn(
