@@ -141,7 +141,6 @@ def template_matches(
     table = spark.createDataFrame(
         rows, "word string, template int, label string, at int, needed int, template_words array<string>, marks array<string>"
     )
-    every_mark = F.array(*[F.lit(m) for m in sorted({m for _, _, _, marks in known for m in marks})]).cast("array<string>")
     rare = F.array(*[F.lit(w) for w in sorted(prefixes, key=rank.__getitem__)])
     ordered = F.array(*[F.lit(w) for w in order])
 
@@ -160,18 +159,13 @@ def template_matches(
         .select(
             "doc_id", "text_hash", "block", F.size(F.array_distinct("words")).alias("n_block"),
             F.array_intersect(ordered, "words").alias("shared"),
-            # Bound to a variable, so that the words are joined once and not once per mark.
-            F.transform(
-                F.array(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))),
-                lambda t: F.filter(every_mark, lambda m: F.contains(t, F.concat(F.lit(" "), m, F.lit(" ")))),
-            )[0].alias("held"),
+            "words",
         )
     )
     candidates = (
         blocks.withColumn("word", F.explode(F.array_intersect("shared", rare)))
         .join(table, "word")
         .filter(F.col("n_block") >= F.col("needed"))
-        .filter(F.size(F.array_except("marks", "held")) == 0)
         .filter(
             1 + F.least(
                 F.size("template_words") - F.col("at") - 1,
@@ -182,9 +176,13 @@ def template_matches(
         )
     )
     overlap = F.size(F.array_intersect("shared", "template_words"))
+    # Looked at last: of few blocks, each word by word.
+    in_a_row = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    marked = F.forall("marks", lambda m: F.contains(in_a_row, F.concat(F.lit(" "), m, F.lit(" "))))
     return (
         candidates.withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("needed"))
+        .filter(marked)
         .withColumn("containment", F.col("overlap") / F.size("template_words"))
         .groupBy("doc_id", "text_hash", "block", "label", "template")
         .agg(F.max("overlap").alias("overlap"), F.max("containment").alias("containment"))
