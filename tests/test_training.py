@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from staylight.bindings import HR
@@ -70,6 +71,16 @@ def test_one_outcome_cannot_be_trained(rows):
         M.fit_stages(only, HR, LABEL, M.candidates()[0])
 
 
+def test_models_score_after_something_was_observed(spark, rows):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 3
+    encoded = M.fit_encoder(rows, HR).transform(rows)
+    for candidate in M.candidates(trees=3, boosting_rounds=2):
+        fitted = M.fit_stages(encoded, HR, LABEL, candidate)
+        assert S.FittedScorer(candidate.label, fitted).score(encoded).filter("probability between 0 and 1").count() == 80
+
+
 def test_every_row_is_held_out_once_per_repeat(rows):
     settings = TrainSettings(folds=4, repeats=2)
     folds = with_folds(numbered(rows), HR, settings)
