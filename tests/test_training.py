@@ -8,7 +8,7 @@ from staylight.bindings import HR
 from staylight.operators import explain as E
 from staylight.operators import models as M
 from staylight.operators import scoring as S
-from staylight.operators.importance import feature_importance, top_features
+from staylight.operators.importance import feature_importance, shuffled_auc, top_features
 from staylight.plans.training import LABEL, TrainSettings, numbered, train, training_rows, with_folds
 from staylight.scorecards import HR_SCORECARD
 from staylight.sources.store import load_model, metric_tables, read_tables, save_model, write_tables
@@ -143,6 +143,20 @@ def test_importance_finds_what_the_score_uses(rows):
     assert found.count() == len(HR.model_columns)
 
 
+def test_importance_passes_no_table_through_the_driver(rows):
+    class Seen:
+        label = "seen"
+
+        def score(self, frame):
+            frame.collect()  # the plan is final once it has run
+            self.plan = frame._jdf.queryExecution().executedPlan().toString()
+            return HR_SCORECARD.score(frame)
+
+    scorer = Seen()
+    shuffled_auc(rows, HR, LABEL, scorer, repeats=3)
+    assert "SortMergeJoin" in scorer.plan and "Broadcast" not in scorer.plan
+
+
 def test_importance_against_brute_force(rows):
     """The same permutation, applied by hand to one column."""
     from hashlib import md5
