@@ -9,7 +9,7 @@ from staylight.operators import explain as E
 from staylight.operators import models as M
 from staylight.operators import scoring as S
 from staylight.operators.importance import feature_importance, shuffled_auc, top_features
-from staylight.plans.training import LABEL, TrainSettings, numbered, train, training_rows, with_folds
+from staylight.plans.training import LABEL, TrainSettings, fits_at_once, numbered, train, training_rows, with_folds
 from staylight.scorecards import HR_SCORECARD
 from staylight.sources.store import load_model, metric_tables, read_tables, save_model, write_tables
 from tests.conftest import AT_RISK, person
@@ -91,6 +91,13 @@ def test_every_row_is_held_out_once_per_repeat(rows):
     assert {r.fold_0 for r in folds.select("fold_0").collect()} == {0, 1, 2, 3}
 
 
+def test_small_tables_are_fitted_side_by_side(rows):
+    one, many = rows.coalesce(1), rows.repartition(64)
+    assert fits_at_once(one, TrainSettings()) == 8  # local[4]
+    assert fits_at_once(many, TrainSettings()) == 4
+    assert fits_at_once(one, TrainSettings(parallel_fits=1)) == 1
+
+
 def test_training_result(trained):
     card = trained.card.first()
     board = trained.leaderboard.orderBy("position").collect()
