@@ -8,6 +8,7 @@ from staylight.bindings import HR
 from staylight.functions.derived import RISK_BANDS
 from staylight.operators import explain as E
 from staylight.operators import scoring as S
+from staylight.operators import typical as T
 from staylight.operators.features import engineer
 from staylight.operators.typical import medians, modes, typical_entity, typical_table
 from staylight.scorecards import HR_SCORECARD
@@ -195,3 +196,13 @@ def test_rows_with_equal_or_missing_ids_are_explained_one_by_one(spark, hr):
     assert len(full) == 5
     by = sorted((str(r.EmployeeID), r.will_leave) for r in full)
     assert by == sorted([("EMP-0001", False), ("EMP-0001", False), ("EMP-0001", True), ("None", False), ("None", True)])
+
+
+def test_targets_that_share_a_bracket_are_counted_once(spark, monkeypatch):
+    numbers = [float(i * i) for i in range(10)]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    counted, struct = [], F.struct
+    monkeypatch.setattr(T.F, "struct", lambda *parts: counted.append(1) or struct(*parts))
+    found = T._narrowed(df, {("x", 4): (0.0, 81.0, 0, 10), ("x", 5): (0.0, 81.0, 0, 10)})
+    assert len(counted) == 1
+    assert found == {("x", 4): (16.0, 16.0, 4, 1), ("x", 5): (25.0, 25.0, 5, 1)}
