@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 
 from staylight.workspace import written
 
-_LINE = re.compile(r"[^.!?;|\n]*[.!?;|\n]+|[^.!?;|\n]+")
 _WORD = re.compile(r"\s*\S+(?:\s+\Z)?|\s+\Z")
 #: Words of a piece, and pieces of a window of 20 words.
 GRAM, WINDOW = 8, 13
@@ -68,25 +67,67 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: What ``str.split`` splits at; the longer ones as numbers, by their bytes.
+_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_TWO, _THREE = ([int.from_bytes(c.encode()) for c in _BLANKS if len(c.encode()) == n] for n in (2, 3))
+#: Kinds of bytes: a blank, what may begin a longer one, what ends a logical line.
+_BLANK, _LEAD, _STOP = 1, 2, 4
+_KINDS = bytes(
+    _BLANK * (chr(c) in _BLANKS and c < 128) + _LEAD * any(c == x.encode()[0] > 127 for x in _BLANKS) + _STOP * (c in b".!?;|\n")
+    for c in range(256)
+)
+#: ``_LOW[n]`` masks the first n bytes of a number of eight.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_PAD = b"\n" * 8
+
+
+def _edges(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop in UTF-8 bytes that begin with a line break and end with ``_PAD``."""
+    blank = kinds & _BLANK
+    lead = np.flatnonzero(kinds & _LEAD)
+    if len(lead):
+        two = (data[lead].astype(np.int64) << 8) | data[lead + 1]
+        three = (two << 8) | data[lead + 2]
+        for at, size in ((lead[np.isin(two, _TWO)], 2), (lead[np.isin(three, _THREE)], 3)):
+            for k in range(size):
+                blank[at + k] = _BLANK
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    return turns[::2], turns[1::2]
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each word, eight bytes at a time, and of its size."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    size = stops - starts
+    h = _mixed((eights[starts] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _BACK, 2)
+    more, done = np.flatnonzero(size > 8), 8
+    while len(more) and done < 64:
+        left = size[more] - done
+        h[more] = _mixed(h[more] * _MIX + (eights[starts[more] + done] & _LOW[np.minimum(left, 8)]), done)
+        more, done = more[left > 8], done + 8
+    for k in more.tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : stops[k]].data)
+    return h
+
+
 class _Words:
     """Hashes of the words of some texts in a row, and of any stretch of them. Words compare without
     case; folding it makes no white space, so whole texts are folded at once."""
 
     def __init__(self, texts: list[str | None]):
-        words, counts, lines = [], [], []
-        for text in texts:
-            before = len(words)
-            for line in text.casefold().split("\n") if text else ():
-                found = line.split()
-                words += found
-                lines.append(len(found))
-            counts.append(len(words) - before)
-        self.counts = np.array(counts, np.int64)
+        folded = [text.casefold().encode() if text else b"" for text in texts]
+        joined = b"\n".join([b"", *folded, _PAD])
+        data = np.frombuffer(joined, np.uint8)
+        starts, stops = _edges(data, np.frombuffer(joined.translate(_KINDS), np.uint8))
+        # Where each text ends, and each line.
+        ends = np.cumsum([len(text) + 1 for text in folded])
+        breaks = np.flatnonzero(data == 10)
+        self.counts = np.diff(np.searchsorted(starts, ends), prepend=0)
         #: Words of each line, text after text.
-        self.lines = np.array(lines, np.int64)
+        self.lines = np.diff(np.searchsorted(starts, breaks), prepend=0)
         self.starts = np.cumsum(self.counts) - self.counts
-        self.owner = np.repeat(np.arange(len(counts)), self.counts)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.owner = np.repeat(np.arange(len(folded)), self.counts)
+        h = _word_hashes(data, starts, stops)
         up, self.down = _powers(1 << max(10, len(h).bit_length()))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
 
@@ -142,10 +183,10 @@ def fingerprints(text: str, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndar
     return at, np.full(len(at), runs.words), words.stretch(at, runs.words)
 
 
-def _parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` characters of text (column 1), whatever the texts' lengths."""
+def _parts(batch: pa.RecordBatch, at: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` characters of text (column ``at``), whatever the texts' lengths."""
     start = size = 0
-    for k, text in enumerate(batch.column(1)):
+    for k, text in enumerate(batch.column(at)):
         size += text.as_buffer().size if text.is_valid else 0
         if size >= most:
             yield batch.slice(start, k + 1 - start)
@@ -154,29 +195,36 @@ def _parts(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBa
         yield batch.slice(start)
 
 
-_ROW = "doc_id long, place int, size int, piece long, print long"
+_ROW = {"doc_id": "long", "place": "int", "size": "int", "piece": "long", "print": "long"}
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{c} {_ROW[c]}" for c in names)
 
 
 def _usable(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
 
 
-def _prints(docs: DataFrame, runs: Runs) -> DataFrame:
+def _prints(docs: DataFrame, runs: Runs, names: list[str] = [*_ROW]) -> DataFrame:
+    """The segments and whole lines of all texts; ``names`` are the columns to send."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 words = _Words(part.column(1).to_pylist())
                 found = zip(_segments(words, runs.words), _whole_lines(words, runs))
                 owner, place, size, piece, value = (np.concatenate(both) for both in found)
-                yield pa.RecordBatch.from_arrays(
+                found = pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(owner)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)),
                         pa.array(piece.view(np.int64)), pa.array(value.view(np.int64)),
                     ],
-                    ["doc_id", "place", "size", "piece", "print"],
+                    [*_ROW],
                 )
+                yield found.select(names)
 
-    return _usable(docs).mapInArrow(run, _ROW)
+    return _usable(docs).mapInArrow(run, _schema(names))
 
 
 def _opened(docs: DataFrame, segments: DataFrame, runs: Runs) -> DataFrame:
@@ -201,13 +249,13 @@ def _opened(docs: DataFrame, segments: DataFrame, runs: Runs) -> DataFrame:
                         part.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32)),
                         pa.array(np.full(len(at), n, np.int32)), pa.array(piece[which]), pa.array(value.view(np.int64)),
                     ],
-                    ["doc_id", "place", "size", "piece", "print"],
+                    [*_ROW],
                 )
 
     listed = segments.groupBy("doc_id").agg(F.collect_list(F.struct("place", "size", "piece")).alias("segments"))
     listed = listed.withColumnRenamed("doc_id", "of")
     met = _usable(docs).join(listed, F.col("doc_id") == F.col("of")).select("doc_id", "text", "segments")
-    return met.mapInArrow(run, _ROW)
+    return met.mapInArrow(run, _schema([*_ROW]))
 
 
 _CONTENT = ["piece", "print", "size"]
@@ -237,7 +285,8 @@ def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
     to a piece. A document's spans are at most twice as many as its words.
     """
     prints = _prints(docs, runs)
-    pieces = written(prints.groupBy("piece").agg(F.count("*").alias("c")).filter("c > 1").select("piece"), "repeated-pieces")
+    pieces = _prints(docs, runs, ["piece"]).groupBy("piece").agg(F.count("*").alias("c"))
+    pieces = written(pieces.filter("c > 1").select("piece"), "repeated-pieces")
     shared = written(prints.join(pieces, "piece", "left_semi"), "shared-segments")
     firsts = written(_firsts(shared), "first-segments")
     several = written(firsts.groupBy("piece").agg(F.count("*").alias("c")).filter("c > 1").select("piece"), "mixed-pieces")
@@ -248,32 +297,54 @@ def repeated_spans(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
-def cut_runs(text: str, spans: list[tuple[int, int]] | np.ndarray, least: int) -> tuple[str, int, int]:
-    """The text without what ``spans`` cover: runs of at least ``least`` words, and whole lines, which are shorter. Also
-    the logical lines (they end after a line break or a sentence) that lost words, run by run, and the
-    words removed.
+def cut_runs(
+    texts: list[bytes | None], counts: np.ndarray, spans: np.ndarray, least: int
+) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """The texts (UTF-8) without what ``spans`` cover, ``counts`` of them to a text: runs of at least ``least`` words, and
+    whole lines, which are shorter. Also the logical lines (they end after a line break or a sentence) that lost words, run by
+    run, and the words removed.
 
     Where a run repeats words just before it that it overlaps (a word or phrase over and over), the first
     ``least`` words of the repetition stay, as they are the first occurrence."""
-    words = lines_of(text)
-    ends = np.array(spans, np.int64).reshape(-1, 2)
-    whole = ends[:, 1] - ends[:, 0] < least
-    gone = _covered(ends[whole], len(words))
-    for a, b in _stretches(_covered(ends[~whole], len(words))):
-        near = [x.casefold().strip() for x in words[max(0, a - least + 1) : a + least]]
-        own = len(near) - least
-        for d in range(1, own + 1):
-            if near[own - d : len(near) - d] == near[own:]:
-                a += least - d
-                break
-        gone[a:b] = True
-    removed_lines = removed_words = 0
-    kept, last = [], 0
-    for a, b in _stretches(gone):
-        kept += words[last:a]
-        last = b
-        removed_lines, removed_words = removed_lines + len(lines_in("".join(words[a:b]))), removed_words + b - a
-    return "".join(kept + words[last:]), removed_lines, removed_words
+    joined = b"\n".join([b"", *[text or b"" for text in texts], _PAD])
+    data, kinds = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_KINDS), np.uint8)
+    starts, stops = _edges(data, kinds)
+    sizes = np.array([len(text or b"") for text in texts], np.int64)
+    ends = np.cumsum(sizes + 1)
+    behind = np.searchsorted(starts, ends)
+    first = np.append(0, behind[:-1])
+    spans = spans.reshape(-1, 2).astype(np.int64) + np.repeat(first, counts)[:, None]
+    # Words before which no run goes on: the first of each text.
+    new = np.zeros(len(starts) + 1, bool)
+    new[first] = new[-1] = True
+    whole = spans[:, 1] - spans[:, 0] < least
+    a, b = _stretches(_covered(spans[~whole], len(starts)), new)
+    left = np.maximum(first[np.searchsorted(behind, a, "right")], a - least + 1)
+    for k, (x, y, own) in enumerate(zip(starts[left].tolist(), stops[a + least - 1].tolist(), (a - left).tolist())):
+        near = joined[x:y].decode().casefold().split()
+        if near[own] in near[:own]:
+            for d in range(1, own + 1):
+                if near[own - d : len(near) - d] == near[own:]:
+                    a[k] += least - d
+                    break
+    gone = np.concatenate([spans[whole], np.stack([a, b], 1)])
+    a, b = _stretches(_covered(gone, len(starts)), new)
+    of = np.searchsorted(behind, a, "right")
+    stop = kinds & _STOP > 0
+    runs = np.flatnonzero(stop[1:] & ~stop[:-1]) + 1
+    x, y = starts[a], stops[b - 1]
+    lines = np.searchsorted(runs, y) - np.searchsorted(runs, x) + (stop[x] & stop[x - 1]) + ~stop[y - 1]
+    # Blanks go with the word behind them, those at the end with the last one.
+    x, y = np.where(new[a], (ends - sizes)[of], stops[a - 1]), np.where(new[b], ends[of], y)
+    kept: dict[int, list[int]] = {}
+    for k, from_, to in zip(of.tolist(), x.tolist(), y.tolist()):
+        kept.setdefault(k, [int(ends[k] - sizes[k])]).extend((from_, to))
+    out = list(texts)
+    for k, at in kept.items():
+        at.append(int(ends[k]))
+        out[k] = b"".join(joined[i:j] for i, j in zip(at[::2], at[1::2]))
+    count = lambda each: np.bincount(of, each, len(texts)).astype(np.int64)
+    return out, count(lines), count(b - a)
 
 
 def _covered(spans: np.ndarray, n: int) -> np.ndarray:
@@ -281,14 +352,12 @@ def _covered(spans: np.ndarray, n: int) -> np.ndarray:
     return (np.bincount(spans[:, 0], minlength=n + 1) - np.bincount(spans[:, 1], minlength=n + 1)).cumsum()[:n] > 0
 
 
-def _stretches(inside: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
-
-
-def lines_in(text: str) -> list[str]:
-    """Logical lines."""
-    return _LINE.findall(text.strip())
+def _stretches(inside: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word, and word behind the last, of each stretch of words ``inside``; none goes on at a ``new`` text."""
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | new[1:-1]
+    ends[:-1] &= ~inside[1:] | new[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
@@ -336,22 +405,14 @@ def without_repeats(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], [[], []]
-            spans = batch.column(len(names))
-            flat = spans.flatten()
-            pairs = np.stack([flat.field(k).to_numpy() for k in range(2)], 1)
-            stops = np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            for text, first, stop in zip(batch.column(at), np.append(0, stops[:-1]).tolist(), stops.tolist()):
-                text, lines, words = text.as_py(), 0, 0
-                if first < stop and text:
-                    text, lines, words = cut_runs(text, pairs[first:stop], runs.words)
-                texts.append(text)
-                counts[0].append(lines)
-                counts[1].append(words)
-            columns = batch.columns[: len(names)]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *[pa.array(c, pa.int64()) for c in counts]], schema.names
-            )
+            for part in _parts(batch, at):
+                listed = part.column(len(names))
+                flat = listed.flatten()
+                spans = np.stack([flat.field(k).to_numpy() for k in range(2)], 1)
+                counts = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                texts, *removed = cut_runs(part.column(at).cast(pa.binary()).to_pylist(), counts, spans, runs.words)
+                columns = part.columns[: len(names)]
+                columns[at] = pa.array(texts, pa.binary()).cast(part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, removed)], schema.names)
 
     return met.mapInArrow(run, schema)

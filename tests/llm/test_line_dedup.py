@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
 from staylight.llm import line_dedup as ld
@@ -176,3 +178,74 @@ def test_every_row_is_a_text_of_its_own(make):
     assert len(got) == 9
     only = make([(None, same), (None, same)])
     assert sorted(r["text"] for r in ld.without_repeats(only).collect()) == ["", same]
+
+
+def mixed_texts(rng, n):
+    """Texts with words of all lengths, among them clashes of case and size, and every kind of blank."""
+    blanks = [" "] * 9 + ["\n", "\t", " \n ", "\u3000", "\xa0", "\x85", "\x1c", "\u2003", "\u2028", "\r\n"]
+    odd = ["Ho", "ho.", "ß", "SS", "K", "k", "\u212a", "x;", "...", "中文字", "🙂|", "\u200b", "\xc2"]
+    odd += ["â", "â\0", "\0", "é" * 400]
+    some = lambda: "".join(rng.choices("abAéÉ.!中", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 30, 64, 65])))
+    out = []
+    for _ in range(n):
+        vocabulary = [rng.choice(odd) if rng.random() < 0.3 else some() for _ in range(rng.choice([1, 3, 40]))]
+        text = "".join(rng.choice(vocabulary) + rng.choice(blanks) for _ in range(rng.choice([0, 1, 5, 60, 150])))
+        out.append(rng.choice([text, text.rstrip(), rng.choice(blanks) + text, None]))
+    return out
+
+
+def test_words_are_hashed_without_a_call_for_each(monkeypatch, odd_texts):
+    calls, real = [], ld.xxhash.xxh64_intdigest
+    monkeypatch.setattr(ld.xxhash, "xxh64_intdigest", lambda x: calls.append(x) or real(x))
+    texts = ["Some plain words, and longer-than-eight-bytes ones.\n" * 200, "É à la carte\xa0! " * 50, "x" * 500, "ho " * 9]
+    words = ld._Words(texts)
+    assert len(calls) <= 1 and words.counts.tolist() == [len(t.split()) for t in texts]
+    texts = [*mixed_texts(random.Random(4), 300), *odd_texts]
+    words = ld._Words(texts)
+    folded = [w for t in texts for w in (t or "").casefold().split()]
+    assert words.counts.tolist() == [len((t or "").split()) for t in texts]
+    lines = [len(line.split()) for t in texts for line in (t or "").split("\n")]
+    assert [n for n in words.lines.tolist() if n] == [n for n in lines if n]
+    hashes = words.stretch(np.arange(len(folded)), 1).tolist()
+    assert len(set(zip(hashes, folded))) == len(set(hashes)) == len(set(folded))
+
+
+def test_the_first_pass_sends_pieces_only(make, planted):
+    docs = make(planted[0])
+    pieces = ld._prints(docs, RUNS, ["piece"])
+    assert pieces.columns == ["piece"]
+    assert sorted(pieces.collect()) == sorted(ld._prints(docs, RUNS).select("piece").collect())
+
+
+def test_texts_are_cut_side_by_side_as_one_by_one():
+    rng = random.Random(9)
+    for _ in range(60):
+        texts, spans = mixed_texts(rng, 5), []
+        for text in texts:
+            n = len((text or "").split())
+            runs = [(i, min(n, i + 12 + rng.choice([0, 0, 30]))) for i in rng.choices(range(max(1, n - 11)), k=3) if n >= 12]
+            spans.append([*runs, *[(i, i + 8) for i in rng.choices(range(max(1, n - 7)), k=2) if n >= 8]][: rng.randint(0, 5)])
+        coded = [t if t is None else t.encode() for t in texts]
+        flat = lambda some: np.array([s for one in some for s in one], np.int32).reshape(-1, 2)
+        got = [*zip(*ld.cut_runs(coded, np.array([len(s) for s in spans]), flat(spans), 12))]
+        for text, one, (left_, lines, words) in zip(coded, spans, got):
+            alone = ld.cut_runs([text], np.array([len(one)]), flat([one]), 12)
+            assert (left_, lines, words) == tuple(x[0] for x in alone)
+            if not one:
+                assert (left_, lines, words) == (text, 0, 0)
+                continue
+            # Each word keeps the blanks before it, the last one those behind it too.
+            units = ld.lines_of(text.decode())
+            gone = {k for a, b in one if b - a < 12 for k in range(a, b)}
+            covered = {k for a, b in one if b - a >= 12 for k in range(a, b)}
+            folded = [u.casefold().strip() for u in units]
+            for a in sorted(k for k in covered if k - 1 not in covered):
+                for d in range(1, min(11, a) + 1):
+                    if folded[a - d : a - d + 12] == folded[a : a + 12]:
+                        covered -= set(range(a, a + 12 - d))
+                        break
+            gone |= covered
+            assert left_.decode() == "".join(u for k, u in enumerate(units) if k not in gone) and words == len(gone)
+            runs = "".join(u if k in gone else "\r\0" for k, u in enumerate(units)).split("\r\0") if gone else []
+            logical = r"[^.!?;|\n]*[.!?;|\n]+|[^.!?;|\n]+"
+            assert lines == sum(len(re.findall(logical, run.strip())) for run in runs if run.strip())
